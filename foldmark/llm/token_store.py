@@ -6,11 +6,12 @@ writes to will do and a lost task is simply written again by the commit protocol
     header      magic "PFB1", u32 documents, u64 ids, u32 blocks
     lengths     u32 for each document: its number of ids
     index       u64 for each block: the byte at which it starts, counted from the first block
-    block       u32 minimum, u8 width, u8 exceptions, u16 zero; the packed values; the exceptions
+    block       u32 minimum, u8 width, u8 exceptions, u16 zero; the packed values
+    exceptions  the positions of all blocks' exceptions, u8 each; then their high parts, u32 each
 
 A block holds 128 ids, the last one padded with its minimum. Each id less the minimum keeps its low `width` bits:
 the 128 values stand in 32 rows of 4 lanes, and each lane packs its 32 values into `width` u32 words. The width is
-what the percentile of the block's values needs; what does not fit is an exception, u8 position and u32 high part.
+what the percentile of the block's values needs; what does not fit is an exception, its high bits kept apart.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BLOCK, ROWS, LANES = 128, 32, 4
 #: Ids after which a segment ends with the document at hand.
 SEGMENT_IDS = 1 << 18
 #: Words of which a worker remembers the ids; past this it forgets all and goes on.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_500_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -80,48 +81,40 @@ def encode_segment(ids: np.ndarray, lengths: np.ndarray, percentile: float = 90.
     width = _bits(np.partition(v, rank, axis=1)[:, rank])
     over = v >= (np.uint64(1) << width.astype(np.uint64))[:, None]
     n_over = over.sum(1)
-    size = 8 + 16 * width + 5 * n_over
-    start = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(start[-1], np.uint8)
-    fixed = np.zeros(blocks, [("least", "<u4"), ("width", "u1"), ("over", "u1"), ("zero", "<u2")])
-    fixed["least"], fixed["width"], fixed["over"] = least, width, n_over
-    out[start[:-1, None] + np.arange(8)] = fixed.view(np.uint8).reshape(blocks, 8)
+    start = np.concatenate([[0], np.cumsum(2 + 4 * width)])  # in u32 words
+    out = np.zeros(start[-1], "<u4")
+    out[start[:-1]] = least
+    out[start[:-1] + 1] = width | n_over << 8
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        packed = _pack(v[at] & np.uint32((1 << int(w)) - 1), int(w)).astype("<u4").view(np.uint8).reshape(len(at), 16 * int(w))
-        out[(start[at] + 8)[:, None] + np.arange(16 * int(w))] = packed
-    if n_over.any():
-        block, where = np.nonzero(over)
-        item = np.zeros(len(block), [("at", "u1"), ("high", "<u4")])
-        item["at"], item["high"] = where, v[block, where] >> width[block].astype(np.uint32)
-        nth = np.arange(len(block)) - (np.cumsum(n_over) - n_over)[block]
-        out[(start[block] + 8 + 16 * width[block] + 5 * nth)[:, None] + np.arange(5)] = item.view(np.uint8).reshape(-1, 5)
-    return head + start[:-1].astype("<u8").tobytes() + out.tobytes()
+        out[(start[at] + 2)[:, None] + np.arange(4 * int(w))] = _pack(v[at] & np.uint32((1 << int(w)) - 1), int(w))
+    block, where = np.nonzero(over)
+    high = v[block, where] >> width[block].astype(np.uint32)
+    return head + (4 * start[:-1]).astype("<u8").tobytes() + out.tobytes() + where.astype(np.uint8).tobytes() + high.astype("<u4").tobytes()
 
 
 def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The ids and each document's number of ids."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment of token ids")
-    docs, n, blocks = struct.unpack_from("<IQI", data, 4)
+    docs, total, blocks = struct.unpack_from("<IQI", data, 4)
     lengths = np.frombuffer(data, "<u4", docs, 20).astype(np.int64)
     if not blocks:
         return np.zeros(0, np.uint32), lengths
-    start = np.frombuffer(data, "<u8", blocks, 20 + 4 * docs).astype(np.int64)
-    body = np.frombuffer(data, np.uint8, offset=20 + 4 * docs + 8 * blocks)
-    fixed = np.ascontiguousarray(body[start[:, None] + np.arange(8)]).view([("least", "<u4"), ("width", "u1"), ("over", "u1"), ("zero", "<u2")]).reshape(-1)
-    width, n_over = fixed["width"].astype(np.int64), fixed["over"].astype(np.int64)
-    v = np.empty((blocks, BLOCK), np.uint32)
-    for w in np.unique(width):
+    start = np.frombuffer(data, "<u8", blocks, 20 + 4 * docs).astype(np.int64) // 4
+    begin = 20 + 4 * docs + 8 * blocks
+    last = begin + 4 * (int(start[-1]) + 1)
+    words = np.frombuffer(data, "<u4", int(start[-1]) + 2 + 4 * data[last], begin)
+    least, width, n_over = words[start], (words[start + 1] & 255).astype(np.int64), (words[start + 1] >> 8 & 255).astype(np.int64)
+    v = np.zeros((blocks, BLOCK), np.uint32)
+    for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        words = np.ascontiguousarray(body[(start[at] + 8)[:, None] + np.arange(16 * int(w))]).view("<u4")
-        v[at] = _unpack(words, int(w)) if w else 0
-    if n_over.any():
-        block = np.repeat(np.arange(blocks), n_over)
-        nth = np.arange(len(block)) - (np.cumsum(n_over) - n_over)[block]
-        item = np.ascontiguousarray(body[(start[block] + 8 + 16 * width[block] + 5 * nth)[:, None] + np.arange(5)]).view([("at", "u1"), ("high", "<u4")]).reshape(-1)
-        v[block, item["at"]] |= item["high"] << width[block].astype(np.uint32)
-    return (v + fixed["least"][:, None]).reshape(-1)[:n], lengths
+        v[at] = _unpack(words[(start[at] + 2)[:, None] + np.arange(4 * int(w))], int(w))
+    if n := int(n_over.sum()):
+        at = begin + 4 * len(words)
+        block, where = np.repeat(np.arange(blocks), n_over), np.frombuffer(data, np.uint8, n, at)
+        v[block, where] |= np.frombuffer(data, "<u4", n, at + n) << width[block].astype(np.uint32)
+    return (v + least[:, None]).reshape(-1)[:total], lengths
 
 
 class _Memo(dict):
