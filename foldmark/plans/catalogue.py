@@ -1,4 +1,324 @@
-"""All queries by name, each (spark, sf_dir) -> DataFrame, and SQL that gives the same rows."""
+"""All queries by name, each (spark, sf_dir) -> DataFrame, and SQL that gives the same rows.
+
+Most run over the event log: user_id is the key, event_id the order, an `error` deletes. R, D, F and X in the notes:
+reachable in the original store, implemented there but unused, only announced there, or an addition.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foldmark.functions.bytes import fnv1a_hex, record_crc
+from foldmark.model import DELETE, GET, PUT, mutations
+from foldmark.operators import runs, skipping, state
 
 QUERIES = {}
 ORACLE_SQL = {}
+BLOOM_M, BLOOM_K = skipping.bloom_size(100, 0.01)
+
+_MUT = """mut AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS k, CASE WHEN event_type = 'error' THEN '' ELSE event_type || ':' || CAST(event_id AS VARCHAR) END AS v, event_id // 250 AS gen FROM events)"""
+_LIVE = "live AS (SELECT k, arg_max(v, seq) AS v, max(seq) AS seq FROM mut GROUP BY k HAVING arg_max(v, seq) <> '')"
+_RUN = "run AS (SELECT gen, k, arg_max(v, seq) AS v FROM mut GROUP BY gen, k)"
+_FNV = "list_reduce(list_prepend(14695981039346656037::uhugeint, [ascii(c)::uhugeint for c in string_split(k, '')]), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+
+
+def query(sql: str | None = None, tables: str = _MUT):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {tables} {sql}" if tables else sql
+        return f
+
+    return add
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    value = F.when(F.col("event_type") == "error", "").otherwise(F.concat_ws(":", "event_type", F.col("event_id").cast("string")))
+    own = mutations(e.withColumn("__v", value), F.col("event_id"), F.col("user_id").cast("string"), F.col("__v"))
+    return own.withColumn("gen", F.expr("seq DIV 250"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.flush(log(spark, sf_dir))
+
+
+def shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(F.col("key").cast("string").alias("k"), F.col("val").cast("string").alias("v"), *more)
+
+
+@query("SELECT k, v, seq FROM live", f"{_MUT}, {_LIVE}")
+def kv_live_state(spark, d):
+    """R: fold and delete filter."""
+    return shown(state.live(log(spark, d)), "seq")
+
+
+@query("SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM mut) WHERE r = 1 AND v <> ''")
+def kv_live_state_window(spark, d):
+    """R: the same by rank."""
+    return shown(state.fold_by_rank(log(spark, d), [F.col("seq")], ["key"]).filter(F.octet_length("val") > 0), "seq")
+
+
+@query("SELECT k, v, seq FROM live WHERE k = '3'", f"{_MUT}, {_LIVE}")
+def kv_get_hit(spark, d):
+    """R: point lookup; the key filter is pushed into the scan below the fold."""
+    return shown(state.get(log(spark, d), "3"), "seq")
+
+
+@query("SELECT k, v, seq FROM live WHERE k = 'no such key'", f"{_MUT}, {_LIVE}")
+def kv_get_miss(spark, d):
+    return shown(state.get(log(spark, d), "no such key"), "seq")
+
+
+@query("SELECT k, seq FROM (SELECT k, arg_max(v, seq) AS v, max(seq) AS seq FROM mut GROUP BY k) WHERE v = ''")
+def kv_tombstones(spark, d):
+    """R: keys whose newest mutation deletes."""
+    return state.deleted(log(spark, d)).select(F.col("key").cast("string").alias("k"), "seq")
+
+
+_DEAD = "dead AS (SELECT min(k) AS k FROM (SELECT k, arg_max(v, seq) AS v FROM mut GROUP BY k) WHERE v = '')"
+
+
+@query("SELECT dead.k, live.k IS NOT NULL AS found FROM dead LEFT JOIN live ON live.k = dead.k", f"{_MUT}, {_LIVE}, {_DEAD}")
+def kv_get_tombstone(spark, d):
+    """R: a get of a deleted key finds nothing, though older values exist."""
+    own = log(spark, d)
+    probe = state.deleted(own).agg(F.min("key").alias("key"))
+    return state.multi_get(own, probe).select(F.col("key").cast("string").alias("k"), "found")
+
+
+def probes(spark, d):
+    e = spark.read.parquet(f"{d}/customer.parquet")
+    return e.select(F.col("c_custkey").cast("string").cast("binary").alias("key"))
+
+
+_PROBES = "probes AS (SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer)"
+
+
+@query("SELECT p.k, v, v IS NOT NULL AS found FROM probes p LEFT JOIN live USING (k)", f"{_MUT}, {_LIVE}, {_PROBES}")
+def kv_multi_get(spark, d):
+    """R: probes left join state."""
+    return shown(state.multi_get(log(spark, d), probes(spark, d)), "found")
+
+
+@query("SELECT k FROM probes WHERE k IN (SELECT k FROM live)", f"{_MUT}, {_LIVE}, {_PROBES}")
+def kv_contains(spark, d):
+    return state.contains(probes(spark, d), log(spark, d)).select(F.col("key").cast("string").alias("k"))
+
+
+@query("SELECT k FROM probes WHERE k NOT IN (SELECT k FROM live)", f"{_MUT}, {_LIVE}, {_PROBES}")
+def kv_absent(spark, d):
+    return state.absent(probes(spark, d), log(spark, d)).select(F.col("key").cast("string").alias("k"))
+
+
+_EMPTY = "m2 AS (SELECT seq, k, CASE WHEN v LIKE 'view%' THEN '' ELSE v END AS v FROM mut)"
+
+
+@query("SELECT k, arg_max(v, seq) AS v FROM m2 GROUP BY k HAVING arg_max(v, seq) <> ''", f"{_MUT}, {_EMPTY}")
+def kv_put_empty_is_delete(spark, d):
+    """R: a put of an empty value hides the key."""
+    own = log(spark, d).withColumn("val", F.when(F.col("val").cast("string").startswith("view"), F.lit("").cast("binary")).otherwise(F.col("val")))
+    return shown(state.live(own))
+
+
+@query("SELECT k, arg_max(v, seq) AS v, max(seq) AS seq FROM mut GROUP BY k")
+def kv_apply_batch(spark, d):
+    """R: a state from the first half of generations with the rest applied to it."""
+    own = log(spark, d)
+    return shown(state.apply_batch(state.fold(own.filter("gen % 2 = 0")), own.filter("gen % 2 = 1")), "seq")
+
+
+@query("SELECT k, coalesce(n.v, o.v) AS v FROM (SELECT k, arg_max(v, seq) AS v FROM mut WHERE gen >= 2 GROUP BY k) n FULL JOIN (SELECT k, arg_max(v, seq) AS v FROM mut WHERE gen < 2 GROUP BY k) o USING (k)")
+def kv_overlay(spark, d):
+    """R: a newer tier over an older one, deletes shadowing."""
+    own = log(spark, d)
+    return shown(state.overlay(state.fold(own.filter("gen >= 2")), state.fold(own.filter("gen < 2"))))
+
+
+@query("SELECT k, row_number() OVER (ORDER BY k) AS pos FROM live", f"{_MUT}, {_LIVE}")
+def kv_key_order(spark, d):
+    """R: place of each live key in byte order. Keys are numbered within their first byte, which is offset by the counts
+    of the bytes before it, so no task sees all keys."""
+    keys = state.live(log(spark, d)).select("key", F.hex(F.substring("key", 1, 1)).alias("b"))
+    counts = keys.groupBy("b").count().withColumn("at", F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count"))
+    keys = keys.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("key"))).join(F.broadcast(counts), "b")
+    return keys.select(F.col("key").cast("string").alias("k"), (F.col("at") + F.col("i")).alias("pos"))
+
+
+_REPLAY = "req AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS k, event_type AS t, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' THEN '' ELSE event_type || ':' || CAST(event_id AS VARCHAR) END AS v FROM events), seen AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM req)"
+
+
+@query("SELECT seq, k, nullif(s, '') AS v FROM seen WHERE t = 'view'", _REPLAY)
+def kv_request_replay(spark, d):
+    """R: gets among mutations, each answered as of its place."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type")
+    op = F.when(F.col("event_type") == "view", GET).when(F.col("event_type") == "error", DELETE).otherwise(PUT)
+    req = mutations(e.withColumn("__v", F.concat_ws(":", "event_type", F.col("event_id").cast("string"))), F.col("event_id"), F.col("user_id").cast("string"), F.col("__v"), op)
+    return shown(state.replay(req), "seq")
+
+
+@query("SELECT k, arg_max(v, seq) AS v FROM mut WHERE seq < (SELECT min(seq) FROM mut WHERE seq > 0 AND seq % 777 = 0) GROUP BY k HAVING arg_max(v, seq) <> ''")
+def kv_recover_prefix(spark, d):
+    """R: state from the records before the first bad one."""
+    own = log(spark, d)
+    bad = own.filter("seq > 0 AND seq % 777 = 0").agg(F.min("seq").alias("bad"))
+    return shown(state.live(own.join(F.broadcast(bad), F.col("seq") < F.col("bad")).drop("bad")))
+
+
+@query()
+def kv_wal_crc(spark, d):
+    """R: checksum of each log record; zlib holds it in the tests."""
+    return log(spark, d).select("seq", record_crc(F.col("op"), F.col("key"), F.col("val")).alias("crc"))
+
+
+@query("SELECT CAST(sum(12 + strlen(k) + strlen(v)) AS BIGINT) AS wal_bytes FROM mut")
+def kv_wal_size(spark, d):
+    return log(spark, d).agg(F.sum(12 + F.octet_length("key") + F.octet_length("val")).alias("wal_bytes"))
+
+
+@query("SELECT gen, CAST(sum(strlen(k) + n) AS BIGINT) AS bytes FROM (SELECT gen, k, arg_min(strlen(v), seq) AS n FROM mut GROUP BY gen, k) GROUP BY gen")
+def kv_memtable_size(spark, d):
+    return runs.buffer_bytes(log(spark, d))
+
+
+@query("SELECT gen AS file_seq, k, v FROM run", f"{_MUT}, {_RUN}")
+def kv_flush_runs(spark, d):
+    return shown(run_log(spark, d), "file_seq")
+
+
+@query("SELECT k, arg_max(v, gen) AS v FROM run GROUP BY k HAVING arg_max(v, gen) <> ''", f"{_MUT}, {_RUN}")
+def kv_tiered_get(spark, d):
+    return shown(runs.tiered_get(run_log(spark, d)))
+
+
+@query()
+def kv_rotation_generations(spark, d):
+    """R: rotation by size, with a small limit, for each of eight writers; a fold in order, held by a plain one in the tests."""
+    own = log(spark, d).select("seq", "key", "val").withColumn("writer", F.pmod(F.crc32("key"), F.lit(8)))
+    return runs.rotations(own, ["writer"], 512).select("writer", "seq", "gen")
+
+
+@query("SELECT * FROM (VALUES (100, 959, 7), (1000, 9586, 7), (4000, 38341, 7), (10000, 95851, 7)) t(n, m, k)", "")
+def kv_bloom_params(spark, d):
+    sizes = [(n, *skipping.bloom_size(n, 0.01)) for n in (100, 1000, 4000, 10000)]
+    return spark.createDataFrame(sizes, "n int, m int, k int")
+
+
+@query(f"SELECT k, lpad(printf('%X', ({_FNV} // 4294967296)::BIGINT), 8, '0') || lpad(printf('%X', ({_FNV} % 4294967296)::BIGINT), 8, '0') AS fnv FROM (SELECT DISTINCT k FROM mut)")
+def kv_fnv1a(spark, d):
+    return log(spark, d).select("key").distinct().select(F.col("key").cast("string").alias("k"), fnv1a_hex(F.col("key")).alias("fnv"))
+
+
+_POS = f"h AS (SELECT DISTINCT k, ({_FNV})::UBIGINT AS h FROM mut), pos AS (SELECT k, (((h & 4294967295::ubigint)::hugeint + i * (h >> 32)::hugeint) % {BLOOM_M})::BIGINT AS p FROM h, range({BLOOM_K}) t(i))"
+
+
+@query("SELECT p // 64 AS word, upper(hex(bit_or((1::ubigint << (p % 64)::ubigint)::ubigint))) AS bits FROM pos GROUP BY p // 64", f"{_MUT}, {_POS}")
+def kv_bloom_words(spark, d):
+    return skipping.bloom_build(log(spark, d).select("key").distinct(), BLOOM_M, BLOOM_K).select("word", F.hex("bits").alias("bits"))
+
+
+@query(f"SELECT k, k IN (SELECT k FROM mut) OR (SELECT bool_and(x.p IN (SELECT p FROM pos)) FROM (SELECT (((h & 4294967295::ubigint)::hugeint + i * (h >> 32)::hugeint) % {BLOOM_M})::BIGINT AS p FROM (SELECT ({_FNV})::UBIGINT AS h), range({BLOOM_K}) t(i)) x) AS maybe FROM probes", f"{_MUT}, {_POS}, {_PROBES}")
+def kv_bloom_probe(spark, d):
+    """R: never false for a key that is there."""
+    words = skipping.bloom_build(log(spark, d).select("key").distinct(), BLOOM_M, BLOOM_K)
+    return skipping.bloom_probe(probes(spark, d), words, BLOOM_M, BLOOM_K).select(F.col("key").cast("string").alias("k"), "maybe")
+
+
+def doc_run(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    return docs.select("source", F.col("doc_id").cast("string").cast("binary").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("val"))
+
+
+_OFF = "e AS (SELECT source, CAST(doc_id AS VARCHAR) AS k, strlen(coalesce(text, '')) + strlen(CAST(doc_id AS VARCHAR)) + 7 AS n FROM documents), o AS (SELECT source, k, CAST(sum(n) OVER (PARTITION BY source ORDER BY k) - n AS BIGINT) AS off FROM e)"
+_ANCHOR = "a(source, off) AS (SELECT DISTINCT source, 0::BIGINT FROM o UNION ALL SELECT * FROM (SELECT a.source, (SELECT min(off) FROM o WHERE o.source = a.source AND o.off >= a.off + 4096) AS off FROM a) WHERE off IS NOT NULL)"
+
+
+@query("SELECT source, k, off AS offset FROM o", _OFF)
+def kv_sparse_offsets(spark, d):
+    return skipping.entry_offsets(doc_run(spark, d), ["source"]).select("source", F.col("key").cast("string").alias("k"), "offset")
+
+
+@query("SELECT o.source, o.k, o.off AS offset FROM a JOIN o USING (source, off)", f"{_OFF}, {_ANCHOR}")
+def kv_sparse_index(spark, d):
+    e = skipping.entry_offsets(doc_run(spark, d), ["source"])
+    return skipping.sparse_index(e, ["source"]).select("source", F.col("key").cast("string").alias("k"), "offset")
+
+
+@query("SELECT source, k, (SELECT max(a.off) FROM a WHERE a.source = o.source AND a.off <= o.off) AS block FROM o", f"{_OFF}, {_ANCHOR}")
+def kv_sparse_probe(spark, d):
+    e = skipping.entry_offsets(doc_run(spark, d), ["source"])
+    return skipping.sparse_probe(e, skipping.sparse_index(e, ["source"]), ["source"]).select("source", F.col("key").cast("string").alias("k"), "block")
+
+
+@query("SELECT k, arg_max(v, gen) AS v, max(gen) AS file_seq FROM run GROUP BY k", f"{_MUT}, {_RUN}")
+def kv_compact(spark, d):
+    """D: one run of the newest entries, deletes kept."""
+    return shown(runs.compact(run_log(spark, d)), "file_seq")
+
+
+@query("SELECT gen AS file_seq, count(*) FILTER (gen < m) AS purged FROM (SELECT gen, max(gen) OVER (PARTITION BY k) AS m FROM run) GROUP BY gen", f"{_MUT}, {_RUN}")
+def kv_compact_duplicates(spark, d):
+    return runs.purged(run_log(spark, d))
+
+
+@query("SELECT k, arg_max(v, gen) AS v, max(gen) AS file_seq FROM run GROUP BY k HAVING arg_max(v, gen) <> ''", f"{_MUT}, {_RUN}")
+def kv_full_compact_drop_tombstones(spark, d):
+    """X: safe because it merges all runs."""
+    return shown(runs.compact(run_log(spark, d), True), "file_seq")
+
+
+@query("SELECT gen AS file_seq FROM run EXCEPT ALL (SELECT DISTINCT gen FROM run WHERE gen % 4 = 0)", f"{_MUT}, run AS (SELECT DISTINCT gen FROM mut)")
+def kv_manifest_diff(spark, d):
+    """D: files of the old manifest that the new one lacks."""
+    old = log(spark, d).select(F.col("gen").alias("file_seq")).distinct()
+    return old.exceptAll(old.filter("file_seq % 4 = 0"))
+
+
+@query("SELECT k, arg_max(v, seq) AS v FROM mut WHERE seq <= 400 GROUP BY k HAVING arg_max(v, seq) <> ''")
+def kv_snapshot_at(spark, d):
+    """F."""
+    return shown(state.snapshot(log(spark, d), 400))
+
+
+@query("SELECT k, v FROM live WHERE k >= '1' AND k < '2'", f"{_MUT}, {_LIVE}")
+def kv_scan_range(spark, d):
+    """F: half-open."""
+    return shown(state.scan(log(spark, d), b"1", b"2"))
+
+
+@query("SELECT string_split(v, ':')[1] AS attribute, count(*) AS n_keys, min(k) AS first_key FROM live GROUP BY 1", f"{_MUT}, {_LIVE}")
+def kv_secondary_index(spark, d):
+    """F."""
+    index = state.secondary_index(state.live(log(spark, d)), F.split(F.col("val").cast("string"), ":")[0])
+    return index.groupBy("attribute").agg(F.count(F.lit(1)).alias("n_keys"), F.min("key").cast("string").alias("first_key"))
+
+
+@query("SELECT k, v FROM live WHERE seq + 500 > (SELECT max(seq) FROM mut)", f"{_MUT}, {_LIVE}")
+def kv_ttl_expired(spark, d):
+    """F: a life of 500 sequence numbers."""
+    own = log(spark, d)
+    now = own.agg(F.max("seq").alias("now"))
+    return shown(state.live(own).join(F.broadcast(now), F.col("seq") + 500 > F.col("now")))
+
+
+@query("SELECT (SELECT count(*) FROM mut) AS log_entries, (SELECT CAST(sum(12 + strlen(k) + strlen(v)) AS BIGINT) FROM mut) AS log_bytes, count(*) AS run_entries, CAST(sum(7 + strlen(k) + strlen(v)) AS BIGINT) AS run_bytes, (SELECT count(*) FROM live) AS live_entries, (SELECT CAST(sum(7 + strlen(k) + strlen(v)) AS BIGINT) FROM live) AS live_bytes FROM run", f"{_MUT}, {_LIVE}, {_RUN}")
+def kv_amplification(spark, d):
+    """F."""
+    return runs.amplification(log(spark, d), run_log(spark, d))
+
+
+@query("SELECT * EXCLUDE r FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r = 1", "")
+def kv_lineitem_upsert(spark, d):
+    """R: the fold on wide rows with a composite key; the newest row by a struct, summed before the shuffle."""
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    newest = F.max_by(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag"), F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")).alias("r")
+    return t.groupBy("l_orderkey", "l_linenumber").agg(newest).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1 AND role <> 'system'", "")
+def kv_conversation_state(spark, d):
+    """R: last turn of each conversation; a system turn deletes."""
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    last = t.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text", "role"), "turn").alias("r"))
+    return last.filter("r.role <> 'system'").select("conv_id", "r.turn", "r.text")
