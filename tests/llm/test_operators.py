@@ -1,0 +1,327 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foldmark.llm import decontaminate, line_dedup, mixing, near_dup, pii, queries, secret_scan, sharding, token_store, topk_search, toxicity
+from foldmark.llm._graph import connected
+from foldmark.llm._words import word_hashes
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty, long, equal and repeated rows, and columns whose names clash with the operators' own."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu".split()
+    r = random.Random(3)
+    long = " ".join(r.choice(words) + str(r.randint(0, 99)) for _ in range(3000))
+    edited = long.split()
+    edited[100] = edited[1500] = "changed"
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, long, "en", None, 1), (4, " ".join(edited), None, "b", 1), (5, long, "en", "b", 1), (5, long, "en", "b", 1), (6, "x y z", "en", "c", None), (None, "one two three four five six", "en", "c", 2)]
+    df = spark.createDataFrame(rows, DOC)
+    return df.withColumns({c: F.lit("kept") for c in ("shard", "taken", "host", "size", "rid", "score", "row", "__score", "__rid")})
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_word_hashes_at_piece_borders():
+    text = "ab cd " * 500_000
+    h = next(iter(word_hashes([text])))
+    assert len(h) == 1_000_000 and len(set(h.tolist())) == 2
+    got = [len(x) for x in word_hashes([None, "", "é-è x.y", "A a"])]
+    assert got == [0, 0, 4, 2] and len(set(next(iter(word_hashes(["A a"]))).tolist())) == 1
+
+
+def test_top_k(spark):
+    nan, inf = float("nan"), float("inf")
+    r = random.Random(1)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(60)] + [(100 + i, [0.5] * 6) for i in range(30)]
+    rows += [(200, None), (220, [nan] * 6), (240, [0.1, None]), (260, [inf] + [0.0] * 5), (None, [1.0] * 6), (280, [0.3]), (0, rows[0][1])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)), F.col("vec_id") % 20 == 0, 20).collect()
+    ok = {i: [math.floor(64 * x) for x in v] + [0] * (6 - len(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    want = set()
+    for q in (i for i in ok if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(ok[q], ok[x])), x) for x in ok if x != q)[:20]
+        want |= {(q, k + 1, x, -s) for k, (s, x) in enumerate(best)}
+    assert {(g.query_id, g.rank, g.vec_id, g.score) for g in got} == want
+    assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") > 0).count() == 0
+
+
+def test_secret_scan(spark, docs):
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"words before token = \"{key(40)}\" and words after") for i in range(60)] + [(100 + i, f"commit {key(40)} fixes host mail{i}.example.com today") for i in range(60)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert all(text[g.doc_id][g.start : g.end] == g.finding for g in got)
+    assert {g.doc_id for g in got if g.secret} == set(range(60))
+    assert secret_scan.scan(docs).columns == ["doc_id", "start", "end", "finding", "score", "secret"]
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_segments_round_trip():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 127, 128, 129, 3000):
+        for high in (1, 2, 300, 49408, 1 << 31):
+            ids = np.where(r.random(n) < 0.05, r.integers(0, (1 << 32) - 1, n), r.integers(0, high, n)).astype(np.uint32)
+            lengths = np.array([n // 3, n - n // 3])
+            got, sizes = token_store.decode_segment(token_store.encode_segment(ids, lengths))
+            assert (got == ids).all() and sizes.tolist() == lengths.tolist()
+    with pytest.raises(ValueError):
+        token_store.decode_segment(b"nothing of the kind")
+
+
+def test_token_ids(spark, docs, real):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.vocabulary())
+    odd = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["İstanbul ΣΑΣ", "x<|endoftext|>y it's don't", "é café ́", "\x1c a\x1cb", "日本語 全　角", "tab\tnew\nline\r\n", "'s 'S a's a.b, c.", "a b"])], "doc_id long, text string")
+    for df in (docs.filter("doc_id <> 5"), real.select("doc_id", "text").union(odd), docs.limit(0)):
+        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
+        got = sorted(token_store.read_segments(token_store.write_segments(df, queries.vocabulary())).collect(), key=lambda r: r.start)
+        at = 0
+        assert len(got) == len(rows)
+        for r, g in zip(rows, got):
+            ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+            assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+
+
+def test_decontaminate(spark, docs):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "too short"), (None, "One, TWO three! four five six")], "item_id long, text string")
+    texts = [("pad " * 500 + item.upper() + " pad" * 500, {1, None}), (item.replace("seven", "x"), {None}), (item.rsplit(" ", 1)[0] + " end", {1, None}), ("", set()), (None, set()), ("two three four five", set())]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").withColumn("item", F.lit(9))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(i, k) for i, (_, ks) in enumerate(texts) for k in ks}
+    kept = decontaminate.decontaminated(df, bench)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5}
+    assert decontaminate.decontaminated(docs, bench).columns == docs.columns
+    assert decontaminate.contaminated(docs.limit(0), bench.limit(0)).count() == 0
+
+
+def test_toxicity(spark, docs):
+    r = random.Random(7)
+    common = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        w = [r.choice(common) for _ in range(60)] + (["nasty"] * bad + [f"awful{r.randint(0, 3)}"] * bad)
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(df, lab).collect()
+    assert len(got) == 900 and all(0 <= g.score <= 1 and g.held_out == (zlib.crc32(str(g.doc_id).encode()) % 4 == 2) and g.predicted == int(g.score >= 0.3) for g in got)
+    held = [g for g in got if g.held_out]
+    assert sum(g.predicted == (g.doc_id % 3 == 0) for g in held) >= 0.95 * len(held)
+    few = toxicity.toxicity(docs, lab.limit(0)).collect()
+    assert len(few) == 8 and all(0 <= g.score <= 1 for g in few)
+    assert toxicity.without_toxic(docs, lab).columns == docs.columns
+    assert toxicity.toxicity(docs.limit(0), lab).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 1009])
+def test_permutation(spark, n):
+    got = [r.p for r in spark.range(n).select(sharding.permutation(F.col("id"), n, 20).alias("p")).collect()]
+    assert sorted(got) == list(range(n)) and got == [sharding.permuted_number(i, n, 20) for i in range(n)]
+
+
+def test_sharding(spark, docs, real):
+    for df in (docs, real):
+        got = sharding.shard_documents(df).collect()
+        want = sorted((r.doc_id is not None, r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.select("doc_id", "text").collect())
+        assert sorted((g.doc_id is not None, g.doc_id, g["size"], g.text_crc32) for g in got) == want
+        slots = [sorted(g.slot for g in got if g.shard == s) for s in range(8)]
+        assert all(s == list(range(len(s))) for s in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+    again = sharding.shard_documents(real.repartition(5)).collect()
+    assert {(g.doc_id, g.shard, g.slot) for g in got} == {(g.doc_id, g.shard, g.slot) for g in again}
+    assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def plain_pii(t):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def ok(k, s):
+        d = [int(c) for c in s if c.isdigit()]
+        if k == "ip":
+            return all(int(x) <= 255 for x in s.split("."))
+        if k == "card":
+            return 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d[::-1])) % 10 == 0
+        return k != "phone" or 9 <= len(d) <= 15
+
+    spans = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(patterns.items()) for m in re.finditer(p, t or "") if ok(k, m[0])]
+    return [sum(s[3] == k for s in spans) for k in patterns], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)).encode()).hexdigest()
+
+
+def test_pii(spark, docs):
+    r = random.Random(1)
+    made = ["".join(r.choice("aB0123456789..@@++--  ()é%_41 ") for _ in range(r.randint(0, 120))) for _ in range(1500)]
+    made += [None, "", "x@y.com_z@w.de 1.2.3.4.5.6.7.8 0000255.1.1.1 256.1.1.1 \U0001f600 +1 (988) 555-2485 4111 1111 1111 1111", "a" * 30000 + " " + "1 " * 9000 + "1.2." * 5000 + "a@b" + ".c" * 9000]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for g in pii.digests(df).collect():
+        assert ([g.n_email, g.n_ip, g.n_card, g.n_phone], g.base_sha256) == plain_pii(made[g.doc_id]), made[g.doc_id][:200]
+    more = pii.digests(spark.createDataFrame([(1, "iban GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33; ssn 123-45-6789; nr 123-45-6789" + " " * 60 + "987-65-4321")], "doc_id long, text string")).first()
+    assert more.n_iban == 1 and more.n_ssn == 2
+    assert pii.redacted(docs).columns == docs.columns and pii.digests(docs.limit(0)).count() == 0
+    red = pii.redacted(spark.createDataFrame([(1, "é to a.b@c.de, +1 (988) 555-2485.")], "doc_id long, text string")).first().text
+    assert red == "é to <EMAIL>, <PHONE>."
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_banded_alignment():
+    r = random.Random(0)
+    for _ in range(500):
+        a = [r.randint(0, 9) for _ in range(r.randint(0, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 8)):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 2)] = [r.randint(0, 9)] * r.randint(0, 2)
+        most, true = r.randint(0, 12), edits(a, b)
+        assert near_dup.banded_distance(np.array(a), np.array(b), most) == min(true, most + 1)
+
+
+def test_components(spark):
+    r = random.Random(2)
+    pairs = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(110)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2040)]
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {x.node: x.label for x in connected(spark.createDataFrame(pairs, "x long, y long")).collect()}
+    assert all(got.get(n, n) == find(n) for n in root)
+
+
+def test_near_duplicates_against_brute_force(spark, real):
+    rows = {r.doc_id: r.text or "" for r in real.select("doc_id", "text").collect()}
+    ids = sorted(rows)
+    words = dict(zip(ids, word_hashes([rows[i] for i in ids])))
+    grams = {i: set(near_dup.kmers(words[i]).tolist()) for i in ids}
+    root = {i: i for i in ids}
+    for k, b in enumerate(ids):
+        for a in ids[:k]:
+            most = near_dup.allowed(len(words[a]), len(words[b]), 0.8)
+            if root[a] != root[b] and (rows[a] == rows[b] or (grams[a] & grams[b] and near_dup.banded_distance(words[a], words[b], most) <= most)):
+                low, high = sorted((root[a], root[b]))
+                root = {n: low if c == high else c for n, c in root.items()}
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(real).collect()} == root
+
+
+def test_near_duplicates_of_odd_rows(docs):
+    got = {(r.doc_id, r.class_id) for r in near_dup.near_duplicate_classes(docs.filter("doc_id IS NOT NULL")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6)}
+    kept = near_dup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id is not None, r.doc_id) for r in kept.collect()) == [(False, None), (True, 1), (True, 3), (True, 6)]
+    assert near_dup.near_duplicate_classes(docs.limit(0)).count() == 0
+
+
+def test_splitting_tree():
+    split = mixing.split_quotas([1000, 1, 0, 50_000], 8, 1)
+    assert [sum(s[i] for s in split) for i in range(4)] == [1000, 1, 0, 50_000]
+    assert max(map(sum, split)) - min(map(sum, split)) <= 1
+    drawn = np.array([[s[0] for s in mixing.split_quotas([1000, 1, 0, 50_000], 8, seed)] for seed in range(300)])
+    n = 51_001  # mean and deviation of a hypergeometric draw of an eighth of all blocks
+    want = (1000 / 8, math.sqrt(n / 8 * (1000 / n) * (1 - 1000 / n) * (7 / 8) * n / (n - 1)))
+    assert np.abs(drawn.mean(0) - want[0]).max() < 4 * want[1] / math.sqrt(300) and np.abs(drawn.std(0) / want[1] - 1).max() < 0.2
+
+
+def test_mixing(spark, docs, real):
+    for df in (real, docs):
+        got = mixing.mix_documents(df).collect()
+        sizes, source = {}, {}
+        for r in df.select("doc_id", "text", "source").collect():
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            sizes[r.source] = sizes.get(r.source, 0) + n
+            source[r.doc_id] = r.source
+        names = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+        target, open_ = dict.fromkeys(names, 0.0), set(names)
+        rest = 1.5 * sum(sizes.values())
+        while True:
+            level = rest / sum(weight[s] for s in open_) if open_ else 0
+            over = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+            if not over:
+                target |= {s: level * weight[s] for s in open_}
+                break
+            target |= {s: 2.0 * sizes[s] for s in over}
+            rest -= sum(2 * sizes[s] for s in over)
+            open_ -= over
+        assert len(got) == df.count()
+        for s in names:
+            own = [g for g in got if source[g.doc_id] == s]
+            assert all(g.source_size == sizes[s] and g.target == pytest.approx(target[s]) and g.taken in (0, g["size"], 2 * g["size"]) for g in own)
+            assert abs(sum(g.taken for g in own) - target[s]) <= max(g["size"] for g in own)
+            assert all(len(g.shards) * g["size"] == g.taken and all(0 <= x < 8 for x in g.shards) for g in own)
+    taken = {g.doc_id: len(g.shards) for g in mixing.mix_documents(real.repartition(7)).collect()}
+    out = mixing.mixed_documents(real)
+    assert out.columns == real.columns and out.count() == sum(taken.values())
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_line_dedup(spark):
+    rows = [(i, f"https://user@WWW.Site.org:80/{i}", f"<html><p>menu</p><script>x='<p>menu'</script><p>own  {i}</p><div>half</div></html>" if i % 2 else f"menu\nown {i}") for i in range(10)]
+    rows += [(20, "http://two.org/", "menu\na"), (21, "http://two.org/b", "menu"), (22, None, None), (23, "junk", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("kept?"))
+    got = {r.page_id: r for r in line_dedup.drop_boilerplate(df).collect()}
+    assert got[1].host == "site.org" and got[1].lines == ["own 1", "half"] and got[1].n_dropped == 1 and got[2].lines == ["own 2"]
+    assert got[20].lines == ["menu", "a"] and got[21].lines == ["menu"] and got[22].lines == [] and got[23].n_lines == 0
+    assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracles(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    want = c.sql(queries.ORACLE_SQL[name])
+    at = [want.columns.index(x) for x in df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id for r in docs.collect()}
+    from foldmark.llm._shared import staged
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = staged(stage(spark, docs, SF), name)
+        ids = {r.doc_id for r in rows.collect()}
+        assert rows.columns == columns and ids <= before
+        if name == "near_dedup":
+            members = near_dup.near_duplicate_classes(docs).collect()
+            assert ids == {m.class_id for m in members} and rows.count() == len(ids)
+        if name == "decontamination":
+            bad = decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+            assert before - ids == {b.doc_id for b in bad}
+        docs, before = rows, ids
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(last) == docs.count() and {r.doc_id for r in last} == before
