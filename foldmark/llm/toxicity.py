@@ -36,19 +36,18 @@ def places(h: np.ndarray) -> np.ndarray:
     return (mixed(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
     """Places, weights and bias. rows: the distinct places of each example, all features 1."""
     if not rows:
         return np.zeros(0, np.uint32), np.zeros(0), 0.0
-    seen, count = np.unique(np.concatenate(rows), return_counts=True)
-    seen = seen[count >= min(MIN_ROWS, max(1, len(rows) // 4))]
-    z, n = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
-    local = []
+    count = np.zeros(1 << BITS, np.int32)
     for r in rows:
-        at = np.searchsorted(seen, r)
-        at = at[(at < len(seen))]
-        at = at[np.isin(seen[at], r)] if len(at) else at
-        local.append(np.append(np.unique(at), len(seen)))
+        count[r] += 1
+    seen = np.flatnonzero(count >= min(MIN_ROWS, max(1, len(rows) // 4)))
+    number = np.full(1 << BITS, -1, np.int32)
+    number[seen] = np.arange(len(seen))
+    z, n = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
+    local = [np.append(at[at >= 0], len(seen)).astype(np.int32) for at in (number[r] for r in rows)]
 
     def weight(i: np.ndarray) -> np.ndarray:
         one = np.where(i == len(seen), 0.0, l1)  # the bias has no penalty
@@ -72,8 +71,9 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from labelled documents that are not held out: at most toxic_rows and clean_rows of either kind, those
-    whose ids have the least hashes, so the driver never holds more than their features. The bias is set
-    back to the share of toxic rows among all labelled ones. Null ids, labels and texts teach nothing."""
+    whose ids have the least hashes. One task of an executor learns from their staged features; only the weights reach
+    the driver. The bias is set back to the share of toxic rows among all labelled ones. Null ids, labels and texts
+    teach nothing."""
     import pyarrow as pa
 
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -90,15 +90,27 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": b["y"], "f": pa.array(out, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").mapInArrow(features, "doc_id long, y int, f binary")
-    got = rows.toArrow()
-    y, ids = got["y"].to_numpy().astype(int), got["doc_id"].to_numpy().astype(np.uint64)
-    order = np.lexsort((ids, mixed(ids)))
-    data = got["f"].combine_chunks() if len(got) else []
-    examples = [np.frombuffer(data[int(i)].as_py(), "<u4") for i in order]
-    if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        return np.zeros(0, np.uint32), np.zeros(0), math.log(max(share, 1e-3) / max(1 - share, 1e-3))
-    place, weight, bias = fit_ftrl(examples, y[order])
+    def learn(batches):
+        y, ids, data = [], [], []
+        for b in batches:
+            y += b["y"].to_pylist()
+            ids += b["doc_id"].to_pylist()
+            data += [np.frombuffer(x.as_buffer(), "<u4") for x in b["f"]]
+        if len(set(y)) < 2:
+            share = sum(y) / len(y) if y else 0.0
+            place, weight, bias = np.zeros(0, np.uint32), np.zeros(0), math.log(max(share, 1e-3) / max(1 - share, 1e-3))
+        else:
+            key = np.array(ids, np.int64).astype(np.uint64)
+            order = np.lexsort((key, mixed(key))).tolist()
+            place, weight, bias = fit_ftrl([data[i] for i in order], np.array(y)[order])
+        yield pa.RecordBatch.from_pydict({"place": pa.array([place.tolist()], pa.list_(pa.int32())), "weight": pa.array([weight.tolist()], pa.list_(pa.float64())), "bias": pa.array([bias], pa.float64()), "classes": pa.array([len(set(y))], pa.int32())})
+
+    got = staged(rows, "features").coalesce(1).mapInArrow(learn, "place array<int>, weight array<double>, bias double, classes int").first()
+    if got is None:
+        return np.zeros(0, np.uint32), np.zeros(0), math.log(1e-3)
+    place, weight, bias = np.array(got["place"], np.uint32), np.array(got["weight"], float), got["bias"]
+    if got["classes"] < 2:
+        return place, weight, bias
     rate = {c: min(1.0, most[c] / total[c]) for c in (0, 1)}
     return place, weight, bias + math.log(rate[0] / rate[1])
 
