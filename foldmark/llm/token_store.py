@@ -17,7 +17,10 @@ what the percentile of the block's values needs; what does not fit is an excepti
 from __future__ import annotations
 
 import itertools
+import re
+import string
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -117,22 +120,38 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (v + least[:, None]).reshape(-1)[:total], lengths
 
 
+#: A run of letters and a run of ASCII punctuation after it, which may be empty.
+_PLAIN = re.compile(rf"([^\W\d_]+)([{re.escape(string.punctuation)}]*)")
+
+
 class _Memo(dict):
     """Numbers keys in the order in which they are first looked up."""
 
-    def __missing__(self, key: bytes) -> int:
+    def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         return n
 
 
+class _Letters(dict):
+    """For str.translate: what the tokenizer makes of a letter inside a word. A NUL marks what it does not keep in the word."""
+
+    def __init__(self, tokenizer):
+        self.cut = lambda x: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(x))]
+
+    def __missing__(self, code: int) -> str:
+        got = self.cut(f"a{chr(code)}a")
+        self[code] = out = got[0][1:-1] if len(got) == 1 and len(got[0]) > 2 and got[0][0] == got[0][-1] == "a" else "\0"
+        return out
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each distinct chunk of text once.
 
     No token of such a tokenizer spans ASCII white space, so a text's ids are those of its chunks in turn, and each
     distinct chunk's ids are kept. New chunks go through the tokenizer's own normalizer, pre-tokenizer and model, which
-    is far quicker than a whole encode() for each; a full stop or comma after an ASCII letter or digit is a token of its
-    own. Texts that may hold special tokens, chunks with other white space, and any tokenizer for which the
-    probes below don't hold take encode().
+    is far quicker than a whole encode() for each. A chunk of letters goes to the model letter by letter as those two
+    write each letter, and ASCII punctuation after letters is a piece of its own. Texts that may hold special
+    tokens, chunks with other white space, and any tokenizer for which the probes below don't hold take encode().
     """
 
     def __init__(self, spec: str, end_id: int):
@@ -147,12 +166,13 @@ class Encoder:
         t = self.tokenizer
         ids = lambda x: t.encode(x, add_special_tokens=False).ids
         cuts = all(ids(f"{a}{s}{b}") == ids(a) + ids(b) for a in ("Ab", "x.", "7") for b in ("cd", "'s", "9!") for s in (" ", "\n", "\t  "))
-        stops = all(ids(a + b) == ids(a) + ids(b) for a in ("ab", "x", "7", "don't", "q.r") for b in ".,")
+        stops = all(ids(a + b) == ids(a) + ids(b) for a in ("ab", "x", "\u00e9t\u00e9") for c in string.punctuation for b in (c, c * 3, c + ".", "'" + c))
         plain = all(t.normalizer.normalize_str(x) == x.lower() and [p for p, _ in t.pre_tokenizer.pre_tokenize_str(x.lower())] == [x.lower()] for x in ("abcdefghijklmnopqrstuvwxyz", "THE", "s"))
         return cuts and stops and plain
 
     def forget(self) -> None:
         self.memo, self.pieces = _Memo(), {}
+        self.letters = _Letters(self.tokenizer)
         self.flat, self.begin, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def _put(self, every: list[list[int]]) -> None:
@@ -162,7 +182,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.begin) < self.known + len(every) + 1:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[at : at + new] = [i for ids in every for i in ids]
+        self.flat[at : at + new] = np.fromiter(itertools.chain.from_iterable(every), np.uint32, new)
         self.begin[self.known + 1 : self.known + 1 + len(every)] = at + np.cumsum(n)
         self.known += len(every)
 
@@ -171,22 +191,21 @@ class Encoder:
             self.pieces[piece] = ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
         return ids
 
-    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
         """Of new chunks, which are in lower case as far as ASCII goes."""
         out: list[list[int]] = [[]] * len(chunks)
-        rest, texts, ends = [], [], []
+        rest, texts = [], []
         for i, chunk in enumerate(chunks):
-            end = b""
-            if chunk[-1:] in b".," and chunk[-2:-1].isalnum():
-                chunk, end = chunk[:-1], chunk[-1:]
-            if chunk.isalpha():
-                out[i] = self._piece(chunk.decode())
-                if end:
-                    out[i] = out[i] + self._piece(end.decode())
-            else:
+            if (plain := _PLAIN.fullmatch(chunk)) and unicodedata.is_normalized("NFC", chunk):
+                word, end = plain.groups()
+                if not word.isascii():
+                    word = word.translate(self.letters)
+                if "\0" not in word:
+                    out[i] = self._piece(word) + self._piece(end) if end else self._piece(word)
+                    continue
+            if chunk:
                 rest.append(i)
-                ends.append(end)
-                texts.append(chunk.decode())
+                texts.append(chunk)
         for at in range(0, len(rest), 256):
             some = texts[at : at + 256]
             text = self.tokenizer.normalizer.normalize_str(" ".join(some))
@@ -198,20 +217,27 @@ class Encoder:
                 cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
                 for k, (piece, _) in zip(np.searchsorted(stop, [x[1][0] for x in cut], "right").tolist(), cut):
                     own[k] += self._piece(piece)
-            for i, ids, end in zip(rest[at : at + 256], own, ends[at : at + 256]):
-                out[i] = ids + self._piece(end.decode()) if end else ids
+            for i, ids in zip(rest[at : at + 256], own):
+                out[i] = ids
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, null being empty, with the end id after each, and how many each text has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not self.apart or any(m in t.lower() for t in texts if t for m in self.marks):
             own = [[*x.ids, self.end_id] for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
             return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
         if len(self.memo) > MEMO_WORDS or len(self.pieces) > MEMO_WORDS:
             self.forget()
-        chunks = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        which = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(counts.sum()))
+        rows = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.string())
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(rows))  # white space at an end leaves an empty chunk, of no ids
+        counts = np.diff(chunks.offsets.to_numpy()).astype(np.int64)
+        distinct = chunks.flatten().dictionary_encode()
+        keys = distinct.dictionary.to_numpy(zero_copy_only=False)
+        which = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
+        which = which[distinct.indices.to_numpy()]
         if len(self.memo) > self.known:
             self._put(self._ids(list(itertools.islice(self.memo, self.known, None))))
         size = np.diff(self.begin[: self.known + 1])[which]
