@@ -7,7 +7,9 @@ sketch are candidates; a candidate is linked if the alignment of the two word se
 edits that the threshold allows, has similarity 1 - edits / longer length >= threshold. Classes are the connected links.
 
 Equal texts are one node from the start. Within a bucket of one sketch each text is compared with the bucket's first
-and last id instead of with all others, so pairs grow with rows however large a bucket is. Buckets
+and last id instead of with all others, so pairs grow with rows however large a bucket is. Buckets whose texts
+then lie in several classes are divided by FINER further least k-mers, and each part's texts are compared with the part's first
+and last text by a hash, where the classes differ. Buckets
 also part by length on a grid that is shifted for each band: similar texts differ little in length, so most bands keep
 them together while long and short texts with a common passage fall apart.
 """
@@ -24,8 +26,9 @@ from foldmark.llm._graph import connected
 from foldmark.llm._shared import bare, small, staged
 from foldmark.llm._words import mixed, word_hashes
 
-K, SAMPLE, BANDS = 5, 2, 32
+K, SAMPLE, BANDS, FINER = 5, 2, 32, 4
 THRESHOLD = 0.8
+_FINER_SEEDS = mixed(np.arange(1, FINER + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -51,7 +54,7 @@ def kmers(words: np.ndarray) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
-    """A bucket for each band, as signed 64-bit numbers; none for an empty text."""
+    """A bucket for each band, then the FINER least k-mers, as signed 64-bit numbers; none for an empty text."""
     h = kmers(words)
     if not len(h):
         return np.zeros(0, np.int64)
@@ -66,7 +69,8 @@ def sketch(words: np.ndarray) -> np.ndarray:
     for i in range(size):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[at[:, i]])
     grid = np.floor(math.log(len(words)) / math.log(1.25) + np.arange(BANDS) / BANDS).astype(np.uint64)
-    return mixed(key + grid).view(np.int64)
+    finer = [h[np.argmin(mixed(h ^ seed))] for seed in _FINER_SEEDS]
+    return np.concatenate([mixed(key + grid), np.array(finer, np.uint64)]).view(np.int64)
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -175,6 +179,20 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
     return rows.select("x", "y", "p", "q").mapInArrow(align, "x long, y long")
 
 
+def _divided(rows: DataFrame, bands: DataFrame, label: DataFrame) -> DataFrame:
+    """Further pairs (x, y), of different classes, from the buckets that hold several: at most 2 * FINER for each text and bucket."""
+    known = bands.join(label, bands["rid"] == label["node"], "left").select("rid", "bucket", F.coalesce("label", "rid").alias("c"))
+    known = staged(known, "classed")
+    several = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
+    several = known.join(several, "bucket").join(rows.groupBy("rid").agg(F.min(F.slice("buckets", BANDS + 1, FINER)).alias("finer")), "rid")
+    parts = several.select("rid", "c", "bucket", F.posexplode("finer").alias("j", "f")).select("rid", "c", F.xxhash64("bucket", "j", "f").alias("part"))
+    parts = staged(parts, "parts")
+    one = F.struct(F.xxhash64("rid").alias("h"), "rid", "c")
+    ends = staged(parts.groupBy("part").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("part", "low", "high"), "part-ends")
+    pairs = parts.join(ends, "part").select("rid", "c", F.explode(F.array("low", "high")).alias("e")).filter("c <> e.c")
+    return pairs.select(F.least("rid", "e.rid").alias("x"), F.greatest("rid", "e.rid").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Members (rid, class_id), a row for each row of docs, and links (x, y) between representatives of equal texts.
 
@@ -185,12 +203,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = staged(sketched(docs, id_col, text_col), "sketches")
     first = staged(rows.groupBy("digest").agg(F.min("rid").alias("rep")), "representatives")
     member = staged(rows.select("rid", "digest").join(first, "digest").select("rid", "rep"), "members")
-    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", F.explode("buckets").alias("bucket"))
+    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", F.explode(F.slice("buckets", 1, BANDS)).alias("bucket"))
     ends = bands.groupBy("bucket").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
     ends = staged(ends, "buckets")
     pairs = bands.join(ends, "bucket").select(F.col("rid").alias("y"), F.explode(F.array("low", "high")).alias("x")).filter("x <> y")
     pairs = staged(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     links = staged(verified(pairs, docs, threshold, id_col, text_col), "links")
+    first_label = connected(links)
+    more = staged(_divided(rows, bands, first_label).join(pairs, ["x", "y"], "left_anti"), "more-pairs")
+    links = staged(links.unionByName(verified(more, docs, threshold, id_col, text_col)), "all-links")
     label = connected(links)
     out = member.join(label, member["rep"] == label["node"], "left").select("rid", F.coalesce("label", "rep").alias("class_id"))
     return out, links
