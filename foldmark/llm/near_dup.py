@@ -8,9 +8,8 @@ edits that the threshold allows, has similarity 1 - edits / longer length >= thr
 
 Equal texts are one node from the start. Within a bucket of one sketch each text is compared with the bucket's first
 and last id instead of with all others, so pairs grow with rows however large a bucket is. Buckets whose texts
-then lie in several classes are divided by FINER further least k-mers, and each part's texts are compared with the part's first
-and last text by a hash, where the classes differ. Buckets
-also part by length on a grid that is shifted for each band: similar texts differ little in length, so most bands keep
+then lie in several classes are divided by FINER further least k-mers, and each part's texts are compared with two leaders,
+one drawn among its texts and one from a class drawn among its classes, where the classes differ. Buckets also part by length on a grid that is shifted for each band: similar texts differ little in length, so most bands keep
 them together while long and short texts with a common passage fall apart.
 """
 
@@ -19,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldmark.llm._graph import connected
@@ -133,7 +132,7 @@ def allowed(a: int, b: int, threshold: float) -> int:
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, digest, buckets) of every row, null texts as empty ones."""
+    """(rid, digest, n, buckets) of every row, null texts as empty ones; n is the number of words."""
     import pyarrow as pa
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -141,11 +140,19 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for b in batches:
-            keys = [sketch(h) for h in word_hashes(b["text"].to_pylist())]
+            n, keys = [], []
+            for h in word_hashes(b["text"].to_pylist()):
+                n.append(len(h))
+                keys.append(sketch(h))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["rid"], b["digest"], lists], ["rid", "digest", "buckets"])
+            yield pa.RecordBatch.from_arrays([b["rid"], b["digest"], pa.array(n, pa.int32()), lists], ["rid", "digest", "n", "buckets"])
 
-    return rows.mapInArrow(run, "rid long, digest string, buckets array<long>")
+    return rows.mapInArrow(run, "rid long, digest string, n int, buckets array<long>")
+
+
+def _long_enough(a: str, b: str, threshold: float) -> Column:
+    """Whether texts of a and b words can be linked at all."""
+    return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-6
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -171,25 +178,27 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
                 ok.append(banded_distance(u, v, most) <= most)
             yield pa.RecordBatch.from_arrays([b["x"], b["y"]], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    size = F.octet_length("words").alias("size")
-    n = words.select(F.col("rid"), size)
-    near = pairs.join(n.select(F.col("rid").alias("x"), F.col("size").alias("sx")), "x").join(n.select(F.col("rid").alias("y"), F.col("size").alias("sy")), "y")
-    near = near.filter(F.least("sx", "sy") >= threshold * F.greatest("sx", "sy") - 1e-6).select("x", "y")
-    rows = near.join(words.select(F.col("rid").alias("y"), F.col("words").alias("q")), "y").join(words.select(F.col("rid").alias("x"), F.col("words").alias("p")), "x")
+    rows = pairs.join(words.select(F.col("rid").alias("y"), F.col("words").alias("q")), "y").join(words.select(F.col("rid").alias("x"), F.col("words").alias("p")), "x")
     return rows.select("x", "y", "p", "q").mapInArrow(align, "x long, y long")
 
 
-def _divided(rows: DataFrame, bands: DataFrame, label: DataFrame) -> DataFrame:
-    """Further pairs (x, y), of different classes, from the buckets that hold several: at most 2 * FINER for each text and bucket."""
-    known = bands.join(label, bands["rid"] == label["node"], "left").select("rid", "bucket", F.coalesce("label", "rid").alias("c"))
+def _divided(rows: DataFrame, bands: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """Further pairs (x, y), of different classes, from the buckets that hold several: at most 2 * FINER for each text and bucket.
+
+    One of a part's two leaders is drawn among its texts, the other from a class drawn among its classes. In a part of one large
+    class and some single texts the first belongs to the large class, the second most often is a single text, which so meets all.
+    """
+    known = bands.join(label, bands["rid"] == label["node"], "left").select("rid", "n", "bucket", F.coalesce("label", "rid").alias("c"))
     known = staged(known, "classed")
     several = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
     several = known.join(several, "bucket").join(rows.groupBy("rid").agg(F.min(F.slice("buckets", BANDS + 1, FINER)).alias("finer")), "rid")
-    parts = several.select("rid", "c", "bucket", F.posexplode("finer").alias("j", "f")).select("rid", "c", F.xxhash64("bucket", "j", "f").alias("part"))
+    parts = several.select("rid", "n", "c", "bucket", F.posexplode("finer").alias("j", "f")).select("rid", "n", "c", F.xxhash64("bucket", "j", "f").alias("part"))
     parts = staged(parts, "parts")
-    one = F.struct(F.xxhash64("rid").alias("h"), "rid", "c")
-    ends = staged(parts.groupBy("part").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("part", "low", "high"), "part-ends")
-    pairs = parts.join(ends, "part").select("rid", "c", F.explode(F.array("low", "high")).alias("e")).filter("c <> e.c")
+    of_texts = F.min(F.struct(F.xxhash64("rid").alias("h"), "rid", "n", "c"))
+    of_classes = F.min(F.struct(F.xxhash64("part", "c").alias("h"), F.xxhash64("part", "rid").alias("g"), "rid", "n", "c"))
+    ends = parts.groupBy("part").agg(of_texts.alias("low"), of_classes.alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b")
+    ends = staged(ends.select("part", F.array(*[F.struct(f"{e}.rid", f"{e}.n", f"{e}.c") for e in ("low", "high")]).alias("ends")), "part-ends")
+    pairs = parts.join(ends, "part").select("rid", "n", "c", F.explode("ends").alias("e")).filter("c <> e.c").filter(_long_enough("n", "e.n", threshold))
     return pairs.select(F.least("rid", "e.rid").alias("x"), F.greatest("rid", "e.rid").alias("y")).distinct()
 
 
@@ -203,14 +212,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = staged(sketched(docs, id_col, text_col), "sketches")
     first = staged(rows.groupBy("digest").agg(F.min("rid").alias("rep")), "representatives")
     member = staged(rows.select("rid", "digest").join(first, "digest").select("rid", "rep"), "members")
-    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", F.explode(F.slice("buckets", 1, BANDS)).alias("bucket"))
-    ends = bands.groupBy("bucket").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
+    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", "n", F.explode(F.slice("buckets", 1, BANDS)).alias("bucket"))
+    one = F.struct("rid", "n")
+    ends = bands.groupBy("bucket").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.rid < high.rid")
     ends = staged(ends, "buckets")
-    pairs = bands.join(ends, "bucket").select(F.col("rid").alias("y"), F.explode(F.array("low", "high")).alias("x")).filter("x <> y")
-    pairs = staged(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    pairs = bands.join(ends, "bucket").select("rid", "n", F.explode(F.array("low", "high")).alias("e")).filter("rid <> e.rid").filter(_long_enough("n", "e.n", threshold))
+    pairs = staged(pairs.select(F.least("rid", "e.rid").alias("x"), F.greatest("rid", "e.rid").alias("y")).distinct(), "pairs")
     links = staged(verified(pairs, docs, threshold, id_col, text_col), "links")
     first_label = connected(links)
-    more = staged(_divided(rows, bands, first_label).join(pairs, ["x", "y"], "left_anti"), "more-pairs")
+    more = staged(_divided(rows, bands, first_label, threshold).join(pairs, ["x", "y"], "left_anti"), "more-pairs")
     links = staged(links.unionByName(verified(more, docs, threshold, id_col, text_col)), "all-links")
     label = connected(links)
     out = member.join(label, member["rep"] == label["node"], "left").select("rid", F.coalesce("label", "rep").alias("class_id"))
