@@ -150,7 +150,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, "rid long, digest string, n int, buckets array<long>")
 
 
-def _long_enough(a: str, b: str, threshold: float) -> Column:
+def _long_enough(a: Column | str, b: Column | str, threshold: float) -> Column:
     """Whether texts of a and b words can be linked at all."""
     return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-6
 
@@ -198,7 +198,8 @@ def _divided(rows: DataFrame, bands: DataFrame, label: DataFrame, threshold: flo
     of_classes = F.min(F.struct(F.xxhash64("part", "c").alias("h"), F.xxhash64("part", "rid").alias("g"), "rid", "n", "c"))
     ends = parts.groupBy("part").agg(of_texts.alias("low"), of_classes.alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b")
     ends = staged(ends.select("part", F.array(*[F.struct(f"{e}.rid", f"{e}.n", f"{e}.c") for e in ("low", "high")]).alias("ends")), "part-ends")
-    pairs = parts.join(ends, "part").select("rid", "n", "c", F.explode("ends").alias("e")).filter("c <> e.c").filter(_long_enough("n", "e.n", threshold))
+    other = F.filter("ends", lambda e: (e["c"] != F.col("c")) & _long_enough(F.col("n"), e["n"], threshold))
+    pairs = parts.join(ends, "part").select("rid", F.explode(other).alias("e"))
     return pairs.select(F.least("rid", "e.rid").alias("x"), F.greatest("rid", "e.rid").alias("y")).distinct()
 
 
