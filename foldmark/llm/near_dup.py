@@ -6,11 +6,11 @@ if they hold these k-mers in one order, which follows edit similarity rather tha
 sketch are candidates; a candidate is linked if the alignment of the two word sequences, banded by the
 edits that the threshold allows, has similarity 1 - edits / longer length >= threshold. Classes are the connected links.
 
-Equal texts are one node from the start. Within a bucket of one sketch each text is compared with the bucket's first
-and last id instead of with all others, so pairs grow with rows however large a bucket is. Buckets whose texts
-then lie in several classes are divided by FINER further least k-mers, and each part's texts are compared with two leaders,
-one drawn among its texts and one from a class drawn among its classes, where the classes differ. Buckets also part by length on a grid that is shifted for each band: similar texts differ little in length, so most bands keep
-them together while long and short texts with a common passage fall apart.
+Equal texts are one node from the start. A first round compares each text of a bucket with the bucket's first and last id
+only, which joins most classes with few pairs. Then, in each bucket whose texts lie in several classes, all pairs of texts
+of different classes are taken whose lengths allow a link, so classes are those of all pairs that share a sketch. Word counts in
+BINS bins give a lower bound of the edits; pairs that exceed the threshold by this bound are dropped before their words
+are read, which loses none. Large buckets are cut into blocks, and each two blocks are one unit of work.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from foldmark.llm._graph import connected
 from foldmark.llm._shared import bare, small, staged
 from foldmark.llm._words import mixed, word_hashes
 
-K, SAMPLE, BANDS, FINER = 5, 2, 32, 4
+K, SAMPLE, BANDS = 5, 2, 32
+#: Bins of the word counts, and texts of a block at most about.
+BINS, BLOCK = 256, 512
 THRESHOLD = 0.8
-_FINER_SEEDS = mixed(np.arange(1, FINER + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -53,7 +54,7 @@ def kmers(words: np.ndarray) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
-    """A bucket for each band, then the FINER least k-mers, as signed 64-bit numbers; none for an empty text."""
+    """A bucket for each band, as signed 64-bit numbers; none for an empty text."""
     h = kmers(words)
     if not len(h):
         return np.zeros(0, np.int64)
@@ -68,8 +69,28 @@ def sketch(words: np.ndarray) -> np.ndarray:
     for i in range(size):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[at[:, i]])
     grid = np.floor(math.log(len(words)) / math.log(1.25) + np.arange(BANDS) / BANDS).astype(np.uint64)
-    finer = [h[np.argmin(mixed(h ^ seed))] for seed in _FINER_SEEDS]
-    return np.concatenate([mixed(key + grid), np.array(finer, np.uint64)]).view(np.int64)
+    return mixed(key + grid).view(np.int64)
+
+
+def word_bins(words: np.ndarray) -> bytes:
+    """How many words fall into each of BINS bins, 255 at most, a byte each."""
+    return np.minimum(np.bincount((words >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the edits between each row of bins in a and each in b.
+
+    An edit takes at most one word out of one bin and puts one into another, so the bins' sums of surpluses and of
+    lacks, whichever is more, are never above the edits. That also holds for counts cut off at 255.
+    """
+    out = np.empty((len(a), len(b)), np.int64)
+    size_b = b.sum(axis=1, dtype=np.int64)
+    step = max(1, (1 << 22) // max(1, b.size))
+    for i in range(0, len(a), step):
+        some = a[i : i + step]
+        apart = (np.maximum(some[:, None], b[None]) - np.minimum(some[:, None], b[None])).sum(axis=2, dtype=np.uint32)
+        out[i : i + step] = (apart + np.abs(some.sum(axis=1, dtype=np.int64)[:, None] - size_b[None])) // 2
+    return out
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -132,7 +153,7 @@ def allowed(a: int, b: int, threshold: float) -> int:
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, digest, n, buckets) of every row, null texts as empty ones; n is the number of words."""
+    """(rid, digest, n, buckets, bins) of every row, null texts as empty ones; n is the number of words."""
     import pyarrow as pa
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -140,14 +161,15 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for b in batches:
-            n, keys = [], []
+            n, keys, bins = [], [], []
             for h in word_hashes(b["text"].to_pylist()):
                 n.append(len(h))
                 keys.append(sketch(h))
+                bins.append(word_bins(h))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["rid"], b["digest"], pa.array(n, pa.int32()), lists], ["rid", "digest", "n", "buckets"])
+            yield pa.RecordBatch.from_arrays([b["rid"], b["digest"], pa.array(n, pa.int32()), lists, pa.array(bins, pa.binary())], ["rid", "digest", "n", "buckets", "bins"])
 
-    return rows.mapInArrow(run, "rid long, digest string, n int, buckets array<long>")
+    return rows.mapInArrow(run, "rid long, digest string, n int, buckets array<long>, bins binary")
 
 
 def _long_enough(a: Column | str, b: Column | str, threshold: float) -> Column:
@@ -182,25 +204,81 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, t
     return rows.select("x", "y", "p", "q").mapInArrow(align, "x long, y long")
 
 
-def _divided(rows: DataFrame, bands: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """Further pairs (x, y), of different classes, from the buckets that hold several: at most 2 * FINER for each text and bucket.
+def _across(unit: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x, y) of one unit's texts that are of different classes and not too far apart by length and bins.
 
-    One of a part's two leaders is drawn among its texts, the other from a class drawn among its classes. In a part of one large
-    class and some single texts the first belongs to the large class, the second most often is a single text, which so meets all.
+    A unit holds one block, all of whose pairs are compared, or two, of which each pair across is. own texts are those of the
+    unit's own length cell, the others those of the next one, whose pairs among themselves are another unit's.
     """
+    left = np.flatnonzero(unit["block"] == unit["block"].min())
+    right = np.flatnonzero(unit["block"] == unit["block"].max())
+    n, c, rid, own = unit["n"].astype(np.int64), unit["c"], unit["rid"], unit["own"]
+    longer = np.maximum(n[left][:, None], n[right][None])
+    most = np.floor((1 - threshold) * longer + 1e-9)
+    ok = (c[left][:, None] != c[right][None]) & (own[left][:, None] | own[right][None])
+    ok &= longer - np.minimum(n[left][:, None], n[right][None]) <= most
+    if unit["apart"].any():
+        ok &= unit["block"].min() < unit["block"].max()
+    else:
+        ok &= rid[left][:, None] < rid[right][None]
+    if not ok.any():
+        return rid[:0], rid[:0]
+    rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+    ok = ok[np.ix_(rows, cols)] & (least_edits(unit["bins"][left[rows]], unit["bins"][right[cols]]) <= most[np.ix_(rows, cols)])
+    i, j = np.nonzero(ok)
+    u, v = rid[left[rows[i]]], rid[right[cols[j]]]
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _remaining(rows: DataFrame, bands: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (x, y) of texts that share a bucket, lie in different classes and can be linked by length and word counts.
+
+    Lengths are put on a grid so wide that texts which can be linked lie in one cell or in two neighbouring ones.
+    """
+    import pyarrow as pa
+
     known = bands.join(label, bands["rid"] == label["node"], "left").select("rid", "n", "bucket", F.coalesce("label", "rid").alias("c"))
     known = staged(known, "classed")
-    several = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-    several = known.join(several, "bucket").join(rows.groupBy("rid").agg(F.min(F.slice("buckets", BANDS + 1, FINER)).alias("finer")), "rid")
-    parts = several.select("rid", "n", "c", "bucket", F.posexplode("finer").alias("j", "f")).select("rid", "n", "c", F.xxhash64("bucket", "j", "f").alias("part"))
-    parts = staged(parts, "parts")
-    of_texts = F.min(F.struct(F.xxhash64("rid").alias("h"), "rid", "n", "c"))
-    of_classes = F.min(F.struct(F.xxhash64("part", "c").alias("h"), F.xxhash64("part", "rid").alias("g"), "rid", "n", "c"))
-    ends = parts.groupBy("part").agg(of_texts.alias("low"), of_classes.alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b")
-    ends = staged(ends.select("part", F.array(*[F.struct(f"{e}.rid", f"{e}.n", f"{e}.c") for e in ("low", "high")]).alias("ends")), "part-ends")
-    other = F.filter("ends", lambda e: (e["c"] != F.col("c")) & _long_enough(F.col("n"), e["n"], threshold))
-    pairs = parts.join(ends, "part").select("rid", F.explode(other).alias("e"))
-    return pairs.select(F.least("rid", "e.rid").alias("x"), F.greatest("rid", "e.rid").alias("y")).distinct()
+    differ = (F.min("c") < F.max("c")).alias("differ")
+    several = staged(known.groupBy("bucket").agg(differ).filter("differ").select("bucket"), "several")
+    cell = F.floor(F.log("n") / math.log(1.001 / threshold)).alias("cell")
+    celled = known.join(several, "bucket").select("rid", "n", "c", "bucket", cell)
+    celled = celled.select("rid", "n", "c", F.explode(F.array(F.struct(F.xxhash64("bucket", "cell").alias("part"), F.lit(True).alias("own")), F.struct(F.xxhash64("bucket", F.col("cell") - 1).alias("part"), F.lit(False).alias("own")))).alias("e")).select("rid", "n", "c", "e.part", "e.own")
+    celled = staged(celled, "celled")
+    parts = celled.groupBy("part").agg(differ, F.max("own").alias("any"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("differ AND any").select("part", "blocks")
+    placed = celled.join(staged(parts, "parts"), "part").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    units = placed.select("rid", "n", "c", "own", "block", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = staged(units.select("rid", "n", "c", "own", "block", (F.col("block") != F.col("other")).alias("apart"), F.xxhash64("part", F.least("block", "other"), F.greatest("block", "other")).alias("unit")), "units")
+    units = units.join(rows.select("rid", "n", "bins").distinct(), ["rid", "n"])
+
+    def compare(batches):
+        held = None
+
+        def pairs(table):
+            unit = table["unit"].to_numpy()
+            if not len(unit):
+                return
+            at = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            columns = {k: table[k].to_numpy() for k in ("rid", "n", "c", "own", "block", "apart")}
+            columns["bins"] = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+            found = [_across({k: v[i:j] for k, v in columns.items()}, threshold) for i, j in zip(at, np.append(at[1:], len(unit)))]
+            found = np.unique(np.concatenate([np.stack(p, axis=1) for p in found]), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            unit = held["unit"].to_numpy()
+            cut = int(np.argmax(unit == unit[-1]))  # the last unit may go on in the next batch
+            yield from pairs(held.slice(0, cut))
+            held = held.slice(cut)
+        if held is not None:
+            yield from pairs(held)
+
+    found = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "x long, y long")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -213,7 +291,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = staged(sketched(docs, id_col, text_col), "sketches")
     first = staged(rows.groupBy("digest").agg(F.min("rid").alias("rep")), "representatives")
     member = staged(rows.select("rid", "digest").join(first, "digest").select("rid", "rep"), "members")
-    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", "n", F.explode(F.slice("buckets", 1, BANDS)).alias("bucket"))
+    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", "n", F.explode("buckets").alias("bucket"))
     one = F.struct("rid", "n")
     ends = bands.groupBy("bucket").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.rid < high.rid")
     ends = staged(ends, "buckets")
@@ -221,7 +299,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     pairs = staged(pairs.select(F.least("rid", "e.rid").alias("x"), F.greatest("rid", "e.rid").alias("y")).distinct(), "pairs")
     links = staged(verified(pairs, docs, threshold, id_col, text_col), "links")
     first_label = connected(links)
-    more = staged(_divided(rows, bands, first_label, threshold).join(pairs, ["x", "y"], "left_anti"), "more-pairs")
+    more = staged(_remaining(rows, bands, first_label, threshold).join(pairs, ["x", "y"], "left_anti"), "more-pairs")
     links = staged(links.unionByName(verified(more, docs, threshold, id_col, text_col)), "all-links")
     label = connected(links)
     out = member.join(label, member["rep"] == label["node"], "left").select("rid", F.coalesce("label", "rep").alias("class_id"))

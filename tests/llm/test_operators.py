@@ -233,6 +233,30 @@ def test_near_duplicates_against_brute_force(spark, real):
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(real).collect()} == root
 
 
+def test_near_duplicates_around_one_passage(spark):
+    """Each bucket of the passage holds many classes, and a text is unlike all others but its own edited copy."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(78)]
+    rows = []
+    for i in range(150):
+        own = [f"w{i}x{j}" for j in range(22)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + [w + "y" * (j % 2) for j, w in enumerate(own)]))]
+    r.shuffle(rows)
+    got = near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(g.doc_id, g.class_id) for g in got} == {(i, i - i % 2) for i in range(300)}
+
+
+def test_least_edits():
+    r = np.random.default_rng(5)
+    hashes = [near_dup.mixed(r.integers(0, 40, size).astype(np.uint64)) for size in (1, 7, 30, 30, 600, 610)]
+    bins = np.stack([np.frombuffer(near_dup.word_bins(h), np.uint8) for h in hashes])
+    least = near_dup.least_edits(bins, bins)
+    for i, a in enumerate(hashes):
+        for j, b in enumerate(hashes):
+            assert least[i, j] <= near_dup.banded_distance(a, b, 2000)
+    assert least[0, 4] >= 590 and not np.diag(least).any()
+
+
 def test_near_duplicates_of_odd_rows(docs):
     got = {(r.doc_id, r.class_id) for r in near_dup.near_duplicate_classes(docs.filter("doc_id IS NOT NULL")).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6)}
