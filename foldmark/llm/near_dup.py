@@ -6,8 +6,8 @@ if they hold these k-mers in one order, which follows edit similarity rather tha
 sketch are candidates; a candidate is linked if the alignment of the two word sequences, banded by the
 edits that the threshold allows, has similarity 1 - edits / longer length >= threshold. Classes are the connected links.
 
-Equal texts are one node from the start. A first round compares each text of a bucket with the bucket's first and last id
-only, which joins most classes with few pairs. Then, in each bucket whose texts lie in several classes, all pairs of texts
+Equal texts are one node from the start. A first round divides buckets by length and compares each text with the first and last
+id of its part only, which joins most classes with few pairs. Then, in each bucket whose texts lie in several classes, all pairs of texts
 of different classes are taken whose lengths allow a link, so classes are those of all pairs that share a sketch. Word counts in
 BINS bins give a lower bound of the edits; pairs that exceed the threshold by this bound are dropped before their words
 are read, which loses none. Large buckets are cut into blocks, and each two blocks are one unit of work.
@@ -68,8 +68,7 @@ def sketch(words: np.ndarray) -> np.ndarray:
     key = _SEEDS.copy()
     for i in range(size):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[at[:, i]])
-    grid = np.floor(math.log(len(words)) / math.log(1.25) + np.arange(BANDS) / BANDS).astype(np.uint64)
-    return mixed(key + grid).view(np.int64)
+    return mixed(key).view(np.int64)
 
 
 def word_bins(words: np.ndarray) -> bytes:
@@ -291,11 +290,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = staged(sketched(docs, id_col, text_col), "sketches")
     first = staged(rows.groupBy("digest").agg(F.min("rid").alias("rep")), "representatives")
     member = staged(rows.select("rid", "digest").join(first, "digest").select("rid", "rep"), "members")
-    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", "n", F.explode("buckets").alias("bucket"))
+    bands = rows.join(first.withColumnRenamed("rep", "rid"), ["digest", "rid"], "left_semi").select("rid", "n", F.posexplode("buckets").alias("band", "bucket"))
+    # the grid of lengths is as wide as the threshold allows and shifted for each band, so it parts similar texts in some bands only
+    bands = bands.select("rid", "n", "bucket", F.floor(F.log("n") / -math.log(threshold) + F.col("band") / BANDS).alias("cell"))
     one = F.struct("rid", "n")
-    ends = bands.groupBy("bucket").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.rid < high.rid")
+    ends = bands.groupBy("bucket", "cell").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.rid < high.rid")
     ends = staged(ends, "buckets")
-    pairs = bands.join(ends, "bucket").select("rid", "n", F.explode(F.array("low", "high")).alias("e")).filter("rid <> e.rid").filter(_long_enough("n", "e.n", threshold))
+    pairs = bands.join(ends, ["bucket", "cell"]).select("rid", "n", F.explode(F.array("low", "high")).alias("e")).filter("rid <> e.rid").filter(_long_enough("n", "e.n", threshold))
     pairs = staged(pairs.select(F.least("rid", "e.rid").alias("x"), F.greatest("rid", "e.rid").alias("y")).distinct(), "pairs")
     links = staged(verified(pairs, docs, threshold, id_col, text_col), "links")
     first_label = connected(links)

@@ -246,6 +246,22 @@ def test_near_duplicates_around_one_passage(spark):
     assert {(g.doc_id, g.class_id) for g in got} == {(i, i - i % 2) for i in range(300)}
 
 
+def test_near_duplicates_of_unequal_length(spark):
+    """A copy with a fifth cut off, or a quarter appended, shares the buckets of the kept words."""
+    rows, same = [], {}
+    for short, long in ((80, 100), (81, 100), (404, 500), (800, 1000)):
+        for k in range(10):
+            words = [f"w{short}x{k}x{j}" for j in range(long)]
+            i = len(rows)
+            rows += [(i, " ".join(words)), (i + 1, " ".join(words[:short])), (i + 2, " ".join(words[: short - 2 - long // 50]))]
+            same |= {i: i, i + 1: i, i + 2: i}
+    got = near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {g.doc_id: g.class_id for g in got} == same
+    alone = [(i, t) for i, t in rows if i % 3 != 1]
+    got = near_dup.near_duplicate_classes(spark.createDataFrame(alone, "doc_id long, text string")).collect()
+    assert all(g.doc_id == g.class_id for g in got)
+
+
 def test_least_edits():
     r = np.random.default_rng(5)
     hashes = [near_dup.mixed(r.integers(0, 40, size).astype(np.uint64)) for size in (1, 7, 30, 30, 600, 610)]
