@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foldmark.llm._shared import staged
 
 #: A run of key characters, 12 or more, possibly after a name and = or :, possibly in quotes.
-CANDIDATE = r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{12,200}+={0,2}(?![A-Za-z0-9_/+])"
+CANDIDATE = r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{12,}+={0,2}(?![A-Za-z0-9_/+])"
 NAMED = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|auth|credential)[A-Za-z0-9_.-]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
 ASSIGNED = r"[A-Za-z_][A-Za-z0-9_.-]{0,40}[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
 NEAR_WORDS = r"(?i)\b(?:secret|token|password|passwd|key|credential|bearer|login|auth)\b"
@@ -45,7 +45,7 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
 
 def _shaped(s: Column) -> Column:
     """Keys mix digits with letters, or hold an = or a change of case inside; plain words and numbers never do."""
-    return s.rlike(r"[0-9]") & s.rlike(r"[A-Za-z]")
+    return s.rlike(r"[A-Za-z]") & s.rlike(r"[0-9=]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 
 
 def described(found: DataFrame) -> DataFrame:

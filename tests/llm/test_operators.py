@@ -70,6 +70,18 @@ def test_secret_scan(spark, docs):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_long_or_without_digits(spark):
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(n))
+    jwt = f"eyJ{part(33)}.{part(319)}.{part(43)}"
+    long, letters, padded = "Ab0" * 7000, "qWzRtKpLmXcVbNhGfDsA", "kdjfhgqpwoeirutyalskdj=="
+    words = "internationalization 123456789012345 plain_lower_words Constitutional"
+    text = f"bearer {jwt} then {long} and secret_key = {letters} or token: {padded} in {words}"
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(jwt) == 400 and {g.finding for g in got} == {jwt, long, letters, padded}
+    assert all(text[g.start : g.end] == g.finding for g in got)
+
+
 def test_segments_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 127, 128, 129, 3000):
