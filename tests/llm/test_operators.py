@@ -201,6 +201,18 @@ def edits(a, b):
     return row[-1]
 
 
+def test_iban_before_words_and_numbers(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    after = [" Please", " BIC COBADEFFXXX", " 12345", " DANKE", " or", ";", ""]
+    rows = [(i, f"NR12 {n}{a}") for i, (n, a) in enumerate((n, a) for n in ibans for a in after)]
+    rows += [(100, "DE89 3704 0044 0532 0130 01 Please"), (101, "DE89 3704 0044 0532 0130 005"), (102, "GB82 WEST 1234 5698 7654 32 DE89370400440532013000 NL91 ABNA 0417 1643 00 X")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [x.text for x in r.pii_iban] for r in pii.find_spans(df).collect()}
+    want = {i: [n] for i, (n, _) in enumerate((n, a) for n in ibans for a in after)}
+    assert got == want | {100: [], 101: [], 102: [ibans[0], ibans[1], "NL91 ABNA 0417 1643 00"]}
+    assert pii.redacted(df.filter("doc_id = 0")).first().text == "NR12 <IBAN> Please"
+
+
 def test_banded_alignment():
     r = random.Random(0)
     for _ in range(500):
