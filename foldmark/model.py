@@ -16,6 +16,8 @@ FLUSH_BYTES, BLOCK_BYTES = 4 << 20, 4096
 
 MUTATION = "seq long, op byte, key binary, val binary"
 RUN = "file_seq long, op byte, key binary, val binary"
+#: What a table's runs hold: late mutations are told from new ones by seq.
+TABLE_RUN = RUN + ", seq long"
 
 
 def mutations(df: DataFrame, seq: Column, key: Column, val: Column, op: Column | None = None) -> DataFrame:

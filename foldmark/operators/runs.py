@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,32 +39,39 @@ def buffer_bytes(log: DataFrame, gen: str = "gen") -> DataFrame:
     return first.groupBy(gen).agg(F.sum(F.octet_length("key") + F.col("n")).alias("bytes"))
 
 
-def rotations(log: DataFrame, by: list[str], limit: int = FLUSH_BYTES) -> DataFrame:
+def rotations(log: DataFrame, by: str, limit: int = FLUSH_BYTES) -> DataFrame:
     """log with gen: a new one begins after the mutation by which first inserts of the current one reach limit.
 
-    The count starts anew with each generation, so each partition of by is folded in order by one task.
+    The count starts anew with each generation, so each writer (a value of by) is folded in order by one task; a task goes over its
+    writers' rows batch by batch and holds no more than the keys of one generation. A column gen is replaced.
     """
-    schema = log.withColumn("gen", F.lit(0).cast("long")).schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        gen, size, seen, out = 0, 0, set(), []
-        for key, val in zip(pdf["key"], pdf["val"]):
-            out.append(gen)
-            if bytes(key) not in seen:
-                seen.add(bytes(key))
-                size += len(key) + len(val)
-            if size >= limit:
-                gen, size, seen = gen + 1, 0, set()
-        return pdf.assign(gen=out)
-
-    return log.groupBy(*by).applyInPandas(fold, schema)
-
-
-def write_run(run: DataFrame, path: str, rows: int, partitions: int | None = None, bloom: bool = True) -> None:
+    import pyarrow as pa
+
+    log = log.drop("gen")
+    names = log.columns
+
+    def fold(batches):
+        writer, gen, size, seen = object(), 0, 0, set()
+        for b in batches:
+            out = []
+            for who, key, val in zip(b[by].to_pylist(), b["key"].to_pylist(), b["val"].to_pylist()):
+                if who != writer:
+                    writer, gen, size, seen = who, 0, 0, set()
+                out.append(gen)
+                if key not in seen:
+                    seen.add(key)
+                    size += len(key) + len(val)
+                if size >= limit:
+                    gen, size, seen = gen + 1, 0, set()
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array(out, pa.int64())], [*names, "gen"])
+
+    return log.repartition(by).sortWithinPartitions(by, "seq").mapInArrow(fold, log.withColumn("gen", F.lit(0).cast("long")).schema)
+
+
+def write_run(run: DataFrame, path: str, rows: int, partitions: int | None = None, bloom: bool = True, codec: str = "zstd") -> None:
     """Write a run as Parquet in key order: ranges prune by min and max, misses by the Bloom filter, sized by the row count."""
     ordered = run.repartitionByRange(partitions, "key") if partitions else run.repartitionByRange("key")
-    writer = ordered.sortWithinPartitions("key").write
+    writer = ordered.sortWithinPartitions("key").write.option("compression", codec)
     if bloom:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, rows)))
     writer.parquet(path)

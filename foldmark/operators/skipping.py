@@ -16,6 +16,10 @@ from foldmark.functions.bytes import fnv1a
 from foldmark.model import BLOCK_BYTES
 
 
+#: Words of a filter that may be broadcast.
+BROADCAST_WORDS = 1 << 20
+
+
 def bloom_size(n: int, p: float) -> tuple[int, int]:
     """Bits m and hashes k for n keys at false-positive rate p; n < 1 counts as 1 and p outside (0, 1) as 0.01."""
     n, p = (n if n > 0 else 1), (p if 0 < p < 1 else 0.01)
@@ -39,6 +43,7 @@ def bloom_probe(probes: DataFrame, words: DataFrame, m: int, k: int) -> DataFram
     """probes with maybe: false if the key is surely absent. words: a filter's words, m / 64 rows at most."""
     p = probes.withColumn("p", F.explode(bloom_positions(F.col("key"), m, k))).withColumn("word", F.call_function("div", F.col("p"), F.lit(64).cast("long")))
     hit = F.coalesce(F.expr("getbit(bits, CAST(p % 64 AS INT)) = 1"), F.lit(False))
+    words = F.broadcast(words) if m // 64 <= BROADCAST_WORDS else words
     return p.join(words, "word", "left").groupBy(*probes.columns).agg(F.bool_and(hit).alias("maybe"))
 
 
@@ -53,6 +58,29 @@ def bloom_decode(data: bytes) -> tuple[dict[int, int], int, int]:
     return {i: int.from_bytes(data[9 + 8 * i : 17 + 8 * i], "big") for i in range((len(data) - 9) // 8)}, int.from_bytes(data[1:9], "big"), data[0]
 
 
+def bloom_encoded(words: DataFrame, m: int, k: int) -> DataFrame:
+    """One row, filter (binary): bloom_encode() of a filter's words, by built-in functions. A filter is one value, so its words
+    meet in one row."""
+    every = words.sparkSession.range(-(-m // 64)).select(F.col("id").alias("word")).join(words, "word", "left")
+    one = F.array_sort(F.collect_list(F.struct("word", F.lpad(F.hex(F.coalesce("bits", F.lit(0).cast("long"))), 16, "0").alias("h"))))
+    head = F.concat(F.lpad(F.hex(F.lit(k).cast("long")), 2, "0"), F.lpad(F.hex(F.lit(m).cast("long")), 16, "0"))
+    return every.agg(F.unhex(F.concat(head, F.array_join(F.transform(one, lambda x: x["h"]), ""))).alias("filter"))
+
+
+def bloom_decoded(filters: DataFrame, column: str = "filter") -> DataFrame:
+    """k, m, word and bits of encoded filters, a row for each word; a filter of wrong length fails."""
+    n = F.octet_length(column)
+    whole = (n >= 9) & ((n - 9) % 8 == 0)
+    digits = F.when(whole, F.hex(column)).otherwise(F.raise_error(F.lit("a Bloom filter of wrong length")).cast("string"))
+    number = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * (1 << 16)
+    rows = filters.select(digits.alias("h"))
+    m = number(F.substring("h", 3, 16)) * (1 << 16) + F.conv(F.substring("h", 11, 8), 16, 10).cast("long")
+    words = F.regexp_extract_all(F.substr("h", F.lit(19)), F.lit("[0-9A-F]{16}"), F.lit(0))
+    rows = rows.select(F.conv(F.substring("h", 1, 2), 16, 10).cast("int").alias("k"), m.alias("m"), F.posexplode(words).alias("word", "w"))
+    low, high = F.conv(F.substring("w", 9, 8), 16, 10).cast("long"), F.conv(F.substring("w", 1, 8), 16, 10).cast("long")
+    return rows.select("k", "m", "word", F.shiftleft(high, 32).bitwiseOR(low).alias("bits"))
+
+
 def entry_offsets(run: DataFrame, by: list[str]) -> DataFrame:
     """The byte at which each entry of a sorted run starts: 7 bytes, key and value for each entry before it.
     One window for each run; runs are of bounded size."""

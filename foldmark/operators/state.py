@@ -23,7 +23,10 @@ def fold(log: DataFrame, order: str = "seq") -> DataFrame:
 def fold_by_rank(log: DataFrame, order: list[Column], key: list[str]) -> DataFrame:
     """The whole newest row of each key, for wide rows and composite keys."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*[c.desc() for c in order]))
-    return log.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    name = "__rank"
+    while name in map(str.lower, log.columns):
+        name += "_"
+    return log.withColumn(name, rank).filter(F.col(name) == 1).drop(name)
 
 
 def live(log: DataFrame, order: str = "seq") -> DataFrame:
@@ -46,16 +49,46 @@ def _probes(probes: DataFrame, few: bool) -> DataFrame:
 def multi_get(log: DataFrame, probes: DataFrame, few: bool = False) -> DataFrame:
     """key, val (null if absent) and found for each probe row. few: the caller has checked the number of probes against
     BROADCAST_PROBES; the log is then cut to the probed keys before the fold, without a shuffle of the rest."""
+    probes = probes.drop("val", "found")
     own = log.join(_probes(probes.select("key").distinct(), few), "key", "left_semi")
     return probes.join(live(own).select("key", "val"), "key", "left").withColumn("found", F.col("val").isNotNull())
 
 
-def contains(probes: DataFrame, log: DataFrame) -> DataFrame:
-    return probes.join(live(log), "key", "left_semi")
+def _present(probes: DataFrame, log: DataFrame, few: bool) -> DataFrame:
+    """The live keys among probes. The log is cut to them before the fold."""
+    return live(log.join(_probes(probes.select("key").distinct(), few), "key", "left_semi")).select("key")
 
 
-def absent(probes: DataFrame, log: DataFrame) -> DataFrame:
-    return probes.join(live(log), "key", "left_anti")
+def contains(probes: DataFrame, log: DataFrame, few: bool = False) -> DataFrame:
+    return probes.join(_present(probes, log, few), "key", "left_semi")
+
+
+def absent(probes: DataFrame, log: DataFrame, few: bool = False) -> DataFrame:
+    return probes.join(_present(probes, log, few), "key", "left_anti")
+
+
+def few_probes(probes: DataFrame) -> bool:
+    """Whether probes are few enough to be broadcast, by a count that stops at the bound."""
+    return probes.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES
+
+
+def key_order(state: DataFrame) -> DataFrame:
+    """key and pos, its place in byte order from 1. Keys are dealt out by ranges, and the counts of the ranges, a row for
+    each partition, give where each begins; so no task sees all keys, whatever they begin with."""
+    from foldmark.sources.scratch import written
+
+    keys = written(state.select("key").repartitionByRange("key").withColumn("part", F.spark_partition_id()), "key-ranges")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    begin = keys.groupBy("part").count().select("part", (F.sum("count").over(upto) - F.col("count")).alias("begin"))
+    pos = F.row_number().over(Window.partitionBy("part").orderBy("key"))
+    return keys.join(F.broadcast(begin), "part").select("key", (F.col("begin") + pos).alias("pos"))
+
+
+def key_shard(key: Column, shards: int) -> Column:
+    """The shard of a key by rendezvous hashing (roadmap operator): that for which the MD5 of shard and key is greatest. With one
+    shard more, keys move only into that one."""
+    weight = lambda i: F.struct(F.md5(F.concat(i.cast("string").cast("binary"), F.lit(b":"), key)).alias("w"), i.alias("i"))
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), weight))["i"]
 
 
 def apply_batch(state: DataFrame, batch: DataFrame) -> DataFrame:

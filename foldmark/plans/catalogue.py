@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldmark.functions.bytes import fnv1a_hex, record_crc
-from foldmark.model import DELETE, GET, PUT, mutations
+from foldmark.model import DELETE, ECHO, GET, PUT, mutations
 from foldmark.operators import runs, skipping, state
+from foldmark.sources import frames, wal
+from foldmark.sources.scratch import shared_path
+from foldmark.sources.table import KVTable
+from foldmark.streaming import ingest
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -21,6 +25,11 @@ _MUT = """mut AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS k, CASE WH
 _LIVE = "live AS (SELECT k, arg_max(v, seq) AS v, max(seq) AS seq FROM mut GROUP BY k HAVING arg_max(v, seq) <> '')"
 _RUN = "run AS (SELECT gen, k, arg_max(v, seq) AS v FROM mut GROUP BY gen, k)"
 _FNV = "list_reduce(list_prepend(14695981039346656037::uhugeint, [ascii(c)::uhugeint for c in string_split(k, '')]), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+#: CRC32 of the bytes in a hexadecimal string h, with the 256 remainders in tab.t; there is no such function.
+_TAB = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda s, b: xor(s // 256, t[(xor(s, b) % 256) + 1])))"
+_BE = lambda x, n: f"lpad(printf('%X', ({x})::BIGINT), {2 * n}, '0')"
+_BODY = f"CASE WHEN v = '' THEN '04' ELSE '02' END || {_BE('strlen(k)', 2)} || {_BE('strlen(v)', 4)} || hex(encode(k)) || hex(encode(v))"
 
 
 def query(sql: str | None = None, tables: str = _MUT):
@@ -99,17 +108,20 @@ _PROBES = "probes AS (SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer)"
 @query("SELECT p.k, v, v IS NOT NULL AS found FROM probes p LEFT JOIN live USING (k)", f"{_MUT}, {_LIVE}, {_PROBES}")
 def kv_multi_get(spark, d):
     """R: probes left join state."""
-    return shown(state.multi_get(log(spark, d), probes(spark, d)), "found")
+    p = probes(spark, d)
+    return shown(state.multi_get(log(spark, d), p, state.few_probes(p)), "found")
 
 
 @query("SELECT k FROM probes WHERE k IN (SELECT k FROM live)", f"{_MUT}, {_LIVE}, {_PROBES}")
 def kv_contains(spark, d):
-    return state.contains(probes(spark, d), log(spark, d)).select(F.col("key").cast("string").alias("k"))
+    p = probes(spark, d)
+    return state.contains(p, log(spark, d), state.few_probes(p)).select(F.col("key").cast("string").alias("k"))
 
 
 @query("SELECT k FROM probes WHERE k NOT IN (SELECT k FROM live)", f"{_MUT}, {_LIVE}, {_PROBES}")
 def kv_absent(spark, d):
-    return state.absent(probes(spark, d), log(spark, d)).select(F.col("key").cast("string").alias("k"))
+    p = probes(spark, d)
+    return state.absent(p, log(spark, d), state.few_probes(p)).select(F.col("key").cast("string").alias("k"))
 
 
 _EMPTY = "m2 AS (SELECT seq, k, CASE WHEN v LIKE 'view%' THEN '' ELSE v END AS v FROM mut)"
@@ -138,12 +150,8 @@ def kv_overlay(spark, d):
 
 @query("SELECT k, row_number() OVER (ORDER BY k) AS pos FROM live", f"{_MUT}, {_LIVE}")
 def kv_key_order(spark, d):
-    """R: place of each live key in byte order. Keys are numbered within their first byte, which is offset by the counts
-    of the bytes before it, so no task sees all keys."""
-    keys = state.live(log(spark, d)).select("key", F.hex(F.substring("key", 1, 1)).alias("b"))
-    counts = keys.groupBy("b").count().withColumn("at", F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count"))
-    keys = keys.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("key"))).join(F.broadcast(counts), "b")
-    return keys.select(F.col("key").cast("string").alias("k"), (F.col("at") + F.col("i")).alias("pos"))
+    """R: place of each live key in byte order."""
+    return state.key_order(state.live(log(spark, d))).select(F.col("key").cast("string").alias("k"), "pos")
 
 
 _REPLAY = "req AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS k, event_type AS t, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' THEN '' ELSE event_type || ':' || CAST(event_id AS VARCHAR) END AS v FROM events), seen AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM req)"
@@ -158,20 +166,102 @@ def kv_request_replay(spark, d):
     return shown(state.replay(req), "seq")
 
 
-@query("SELECT k, arg_max(v, seq) AS v FROM mut WHERE seq < (SELECT min(seq) FROM mut WHERE seq > 0 AND seq % 777 = 0) GROUP BY k HAVING arg_max(v, seq) <> ''")
+#: Logs of eight writers, by the digits of their keys; in each the first record from nine tenths of the numbers on is corrupt.
+_LOGS = "logs AS (SELECT *, CAST(CAST(k AS BIGINT) % 8 AS VARCHAR) AS writer FROM mut), bad AS (SELECT writer, min(seq) AS bad FROM logs WHERE seq >= (SELECT max(seq) FROM mut) * 9 // 10 GROUP BY writer)"
+
+
+def logs(spark, d, corrupt: bool):
+    """(path, content) of the writers' log files."""
+    rows = log(spark, d).withColumn("writer", F.col("key").cast("string").cast("long") % 8)
+    records = wal.encoded(rows).join(rows.select("seq", "writer"), "seq")
+    if corrupt:
+        top = rows.agg(F.expr("max(seq) * 9 div 10").alias("from"))
+        bad = records.join(F.broadcast(top), F.col("seq") >= F.col("from")).groupBy("writer").agg(F.min("seq").alias("bad"))
+        flipped = F.unhex(F.concat(F.hex(F.substr("record", F.lit(1), F.octet_length("record") - 1)), F.when(F.hex("record").endswith("00"), "01").otherwise("00")))
+        records = records.join(F.broadcast(bad), "writer", "left").withColumn("record", F.when(F.col("seq") == F.col("bad"), flipped).otherwise(F.col("record")))
+    return wal.joined(records, "writer")
+
+
+@query("SELECT k, arg_max(v, seq) AS v FROM logs LEFT JOIN bad USING (writer) WHERE bad IS NULL OR seq < bad GROUP BY k HAVING arg_max(v, seq) <> ''", f"{_MUT}, {_LOGS}")
 def kv_recover_prefix(spark, d):
-    """R: state from the records before the first bad one."""
-    own = log(spark, d)
-    bad = own.filter("seq > 0 AND seq % 777 = 0").agg(F.min("seq").alias("bad"))
-    return shown(state.live(own.join(F.broadcast(bad), F.col("seq") < F.col("bad")).drop("bad")))
+    """R: state from the bytes of logs that each hold a corrupt record: what stands before it counts. A key is in one log."""
+    return shown(state.live(wal.decoded(logs(spark, d, True))))
+
+
+@query("SELECT k, v FROM live", f"{_MUT}, {_LIVE}")
+def kv_recover_clean(spark, d):
+    """R: state from the bytes of whole logs."""
+    return shown(state.live(wal.decoded(logs(spark, d, False))))
+
 
+@query("SELECT writer AS path, row_number() OVER (PARTITION BY writer ORDER BY seq) - 1 AS seq, CASE WHEN v = '' THEN 4 ELSE 2 END AS op, k, v, CAST(sum(12 + strlen(k) + strlen(v)) OVER (PARTITION BY writer ORDER BY seq) AS BIGINT) AS stop FROM logs LEFT JOIN bad USING (writer) WHERE bad IS NULL OR seq < bad", f"{_MUT}, {_LOGS}")
+def kv_wal_decode(spark, d):
+    """R: the records of the valid prefix of each log and the byte at which each ends."""
+    rows = wal.decoded(logs(spark, d, True))
+    return shown(rows, F.col("file").alias("path"), "seq", F.col("op").cast("int").alias("op"), F.col("end").alias("stop"))
 
-@query()
+
+@query(f"SELECT writer AS path, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (bad IS NOT NULL AND seq = bad) AS BIGINT) AS bad, CAST(sum(12 + strlen(k) + strlen(v)) FILTER (bad IS NULL OR seq < bad) AS BIGINT) AS good_bytes FROM logs LEFT JOIN bad USING (writer) WHERE bad IS NULL OR seq <= bad GROUP BY writer", f"{_MUT}, {_LOGS}")
+def kv_wal_inspect(spark, d):
+    """F: what an inspection of log files tells, without failing at the bad record."""
+    rows = wal.inspected(logs(spark, d, True))
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("valid")).alias("bad"), F.sum(F.when(F.col("valid"), 12 + F.col("key_len") + F.col("val_len"))).alias("good_bytes"))
+
+
+@query(f"SELECT seq, {_CRC} AS crc FROM (SELECT seq, {_BODY} AS h FROM mut), tab", f"{_MUT}, {_TAB}")
 def kv_wal_crc(spark, d):
-    """R: checksum of each log record; zlib holds it in the tests."""
+    """R: checksum of each log record."""
     return log(spark, d).select("seq", record_crc(F.col("op"), F.col("key"), F.col("val")).alias("crc"))
 
 
+@query(f"SELECT seq, 'A1' || {_BE(_CRC, 4)} || h AS record FROM (SELECT seq, {_BODY} AS h FROM mut), tab", f"{_MUT}, {_TAB}")
+def kv_wal_append(spark, d):
+    """R: the bytes of each log record."""
+    return wal.encoded(log(spark, d)).select("seq", F.hex("record").alias("record"))
+
+
+#: Requests of eight connections: views get, errors delete, searches or clicks echo, others put.
+_REQ = "req AS (SELECT event_id AS seq, CAST(user_id % 8 AS VARCHAR) AS path, CAST(user_id AS VARCHAR) AS k, CASE WHEN event_type = 'view' THEN 3 WHEN event_type = 'error' THEN 4 WHEN event_type = 'click' THEN 1 ELSE 2 END AS op, event_type || ':' || CAST(event_id AS VARCHAR) AS v FROM events)"
+_FRAME = lambda op, k, v: f"'A1' || {op} || {_BE(f'strlen({k})', 2)} || {_BE(f'strlen({v})', 4)} || hex(encode({k})) || hex(encode({v}))"
+
+
+def requests(spark, d):
+    """(seq, path, op, key, val)."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type")
+    op = F.when(F.col("event_type") == "view", GET).when(F.col("event_type") == "error", DELETE).when(F.col("event_type") == "click", ECHO).otherwise(PUT)
+    return e.select(F.col("event_id").alias("seq"), (F.col("user_id") % 8).cast("string").alias("path"), op.cast("int").alias("op"), F.col("user_id").cast("string").cast("binary").alias("key"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).cast("binary").alias("val"))
+
+
+def connections(spark, d):
+    """(path, content) of the connections' bytes."""
+    r = requests(spark, d)
+    return wal.joined(r.select("seq", "path", frames.frame_bytes(F.col("op"), F.col("key"), F.col("val")).alias("record")), "path")
+
+
+@query("SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS place, op, k, v FROM req", _REQ)
+def kv_frame_stream(spark, d):
+    """R: requests decoded from the byte streams of connections."""
+    return shown(frames.decoded(connections(spark, d)), "path", "place", "op")
+
+
+@query("SELECT seq, op, strlen(k) AS key_len, strlen(v) AS val_len, seq % 10 <> 0 AS valid FROM (SELECT seq, CASE WHEN seq % 10 <> 0 THEN op END AS op, CASE WHEN seq % 10 <> 0 THEN k END AS k, CASE WHEN seq % 10 <> 0 THEN v END AS v FROM req)", _REQ)
+def kv_frame_headers(spark, d):
+    """R: headers of frames, every tenth of which begins with a wrong byte."""
+    r = requests(spark, d)
+    frame = frames.frame_bytes(F.col("op"), F.col("key"), F.col("val"))
+    bad = F.concat(F.lit(b"\x00"), F.substr(frame, F.lit(2)))
+    return frames.headers(r.select("seq", F.when(F.col("seq") % 10 == 0, bad).otherwise(frame).alias("frame"))).select("seq", F.col("op").cast("int").alias("op"), "key_len", "val_len", "valid")
+
+
+@query(f"SELECT path, place, CASE WHEN op = 1 THEN {_FRAME("'01'", 'k', 'v')} WHEN op IN (2, 4) THEN 'A100000000000000' WHEN coalesce(s, '') = '' THEN 'A100FFFF00000000' ELSE {_FRAME("'03'", 'k', 's')} END AS response FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS place, last_value(CASE op WHEN 2 THEN v WHEN 4 THEN '' END IGNORE NULLS) OVER (PARTITION BY path, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM req)", _REQ)
+def kv_frame_responses(spark, d):
+    """R: the bytes that each request of a connection is answered with: echo, ack, value or not found."""
+    r = frames.decoded(connections(spark, d))
+    r = r.withColumn("seq", F.col("path").cast("long") * F.lit(1 << 40) + F.col("place"))  # a key is on one connection
+    out = frames.responses(r.select("seq", "op", "key", "val"))
+    return out.select(F.expr("CAST(seq DIV 1099511627776 AS STRING)").alias("path"), F.expr("seq % 1099511627776").alias("place"), F.hex("response").alias("response"))
+
+
 @query("SELECT CAST(sum(12 + strlen(k) + strlen(v)) AS BIGINT) AS wal_bytes FROM mut")
 def kv_wal_size(spark, d):
     return log(spark, d).agg(F.sum(12 + F.octet_length("key") + F.octet_length("val")).alias("wal_bytes"))
@@ -192,11 +282,11 @@ def kv_tiered_get(spark, d):
     return shown(runs.tiered_get(run_log(spark, d)))
 
 
-@query()
+@query("SELECT writer, seq, gen FROM f", f"{_MUT}, r AS (SELECT CAST(k AS BIGINT) % 8 AS writer, seq, k, strlen(k) + strlen(v) AS n, row_number() OVER (PARTITION BY CAST(k AS BIGINT) % 8 ORDER BY seq) AS i FROM mut), f(writer, i, seq, gen, next, size, seen) AS (SELECT writer, i, seq, 0::BIGINT, CASE WHEN n >= 512 THEN 1 ELSE 0 END::BIGINT, CASE WHEN n >= 512 THEN 0 ELSE n END::BIGINT, CASE WHEN n >= 512 THEN [] ELSE [k] END FROM r WHERE i = 1 UNION ALL SELECT writer, i, seq, gen, CASE WHEN total >= 512 THEN gen + 1 ELSE gen END, CASE WHEN total >= 512 THEN 0 ELSE total END, CASE WHEN total >= 512 THEN [] WHEN is_new THEN list_append(seen, k) ELSE seen END FROM (SELECT r.writer, r.i, r.seq, r.k, f.next AS gen, f.seen, NOT list_contains(f.seen, r.k) AS is_new, CAST(f.size + CASE WHEN list_contains(f.seen, r.k) THEN 0 ELSE r.n END AS BIGINT) AS total FROM f JOIN r ON r.writer = f.writer AND r.i = f.i + 1))")
 def kv_rotation_generations(spark, d):
-    """R: rotation by size, with a small limit, for each of eight writers; a fold in order, held by a plain one in the tests."""
-    own = log(spark, d).select("seq", "key", "val").withColumn("writer", F.pmod(F.crc32("key"), F.lit(8)))
-    return runs.rotations(own, ["writer"], 512).select("writer", "seq", "gen")
+    """R: rotation by size, with a small limit, for each of eight writers."""
+    own = log(spark, d).select("seq", "key", "val").withColumn("writer", F.col("key").cast("string").cast("long") % 8)
+    return runs.rotations(own, "writer", 512).select("writer", "seq", "gen")
 
 
 @query("SELECT * FROM (VALUES (100, 959, 7), (1000, 9586, 7), (4000, 38341, 7), (10000, 95851, 7)) t(n, m, k)", "")
@@ -225,6 +315,24 @@ def kv_bloom_probe(spark, d):
     return skipping.bloom_probe(probes(spark, d), words, BLOOM_M, BLOOM_K).select(F.col("key").cast("string").alias("k"), "maybe")
 
 
+_WORDS = "w AS (SELECT word, lpad(upper(hex(b)), 16, '0') AS h FROM (SELECT p // 64 AS word, bit_or((1::ubigint << (p % 64)::ubigint)::ubigint) AS b FROM pos GROUP BY p // 64))"
+
+
+@query(f"SELECT '{BLOOM_K:02X}' || '{BLOOM_M:016X}' || string_agg(coalesce(h, '0000000000000000'), '' ORDER BY i) AS filter FROM range({-(-BLOOM_M // 64)}) t(i) LEFT JOIN w ON w.word = t.i", f"{_MUT}, {_POS}, {_WORDS}")
+def kv_bloom_encode(spark, d):
+    """R: the bytes of a stored filter."""
+    words = skipping.bloom_build(log(spark, d).select("key").distinct(), BLOOM_M, BLOOM_K)
+    return skipping.bloom_encoded(words, BLOOM_M, BLOOM_K).select(F.hex("filter").alias("filter"))
+
+
+@query(f"SELECT {BLOOM_K} AS k, {BLOOM_M}::BIGINT AS m, i::INT AS word, ltrim(coalesce(h, '0'), '0') AS bits FROM range({-(-BLOOM_M // 64)}) t(i) LEFT JOIN w ON w.word = t.i", f"{_MUT}, {_POS}, {_WORDS}")
+def kv_bloom_decode(spark, d):
+    """R: parameters and words read back from a stored filter's bytes."""
+    words = skipping.bloom_build(log(spark, d).select("key").distinct(), BLOOM_M, BLOOM_K)
+    back = skipping.bloom_decoded(skipping.bloom_encoded(words, BLOOM_M, BLOOM_K))
+    return back.select("k", "m", "word", F.ltrim(F.hex("bits"), F.lit("0")).alias("bits"))
+
+
 def doc_run(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
     return docs.select("source", F.col("doc_id").cast("string").cast("binary").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("val"))
@@ -251,6 +359,22 @@ def kv_sparse_probe(spark, d):
     return skipping.sparse_probe(e, skipping.sparse_index(e, ["source"]), ["source"]).select("source", F.col("key").cast("string").alias("k"), "block")
 
 
+@query("SELECT p.source, p.k, max(a.off) AS block FROM (SELECT source, k || '~' AS k FROM o UNION ALL SELECT DISTINCT source, '!' FROM o) p LEFT JOIN (SELECT o.source, o.k, o.off FROM a JOIN o USING (source, off)) a ON a.source = p.source AND a.k <= p.k GROUP BY p.source, p.k", f"{_OFF}, {_ANCHOR}")
+def kv_sparse_prune(spark, d):
+    """R: blocks of absent keys; none for a key below a run's first one."""
+    e = skipping.entry_offsets(doc_run(spark, d), ["source"])
+    absent = e.select("source", F.concat(F.col("key"), F.lit(b"~")).alias("key")).unionByName(e.select("source", F.lit(b"!").alias("key")).distinct())
+    return skipping.sparse_probe(absent, skipping.sparse_index(e, ["source"]), ["source"]).select("source", F.col("key").cast("string").alias("k"), "block")
+
+
+@query("SELECT source, count(*) AS entries, (SELECT count(*) FROM a WHERE a.source = o.source) AS anchors FROM o GROUP BY source", f"{_OFF}, {_ANCHOR}")
+def kv_index_size(spark, d):
+    """R: entries and index entries of each run."""
+    e = skipping.entry_offsets(doc_run(spark, d), ["source"])
+    anchors = skipping.sparse_index(e, ["source"]).groupBy("source").agg(F.count(F.lit(1)).alias("anchors"))
+    return e.groupBy("source").agg(F.count(F.lit(1)).alias("entries")).join(anchors, "source")
+
+
 @query("SELECT k, arg_max(v, gen) AS v, max(gen) AS file_seq FROM run GROUP BY k", f"{_MUT}, {_RUN}")
 def kv_compact(spark, d):
     """D: one run of the newest entries, deletes kept."""
@@ -275,10 +399,11 @@ def kv_manifest_diff(spark, d):
     return old.exceptAll(old.filter("file_seq % 4 = 0"))
 
 
-@query("SELECT k, arg_max(v, seq) AS v FROM mut WHERE seq <= 400 GROUP BY k HAVING arg_max(v, seq) <> ''")
+@query("SELECT k, arg_max(v, seq) AS v FROM mut WHERE seq <= (SELECT max(seq) * 9 // 10 FROM mut) GROUP BY k HAVING arg_max(v, seq) <> ''")
 def kv_snapshot_at(spark, d):
-    """F."""
-    return shown(state.snapshot(log(spark, d), 400))
+    """F: as of nine tenths of the log."""
+    own = log(spark, d)
+    return shown(state.snapshot(own, (own.agg(F.max("seq")).first()[0] or 0) * 9 // 10))
 
 
 @query("SELECT k, v FROM live WHERE k >= '1' AND k < '2'", f"{_MUT}, {_LIVE}")
@@ -322,3 +447,66 @@ def kv_conversation_state(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet")
     last = t.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text", "role"), "turn").alias("r"))
     return last.filter("r.role <> 'system'").select("conv_id", "r.turn", "r.text")
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, md5(text) AS digest FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE text <> '' AND doc_id % 7 <> 3 AND doc_id % 5 <> 1 UNION ALL SELECT doc_id, 7, md5('revised') FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 5 = 1", "")
+def kv_document_state(spark, d):
+    """R: the fold over wide values: every document is put, then some are put again and some deleted."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    key = F.col("id").cast("string")
+    puts = mutations(docs, F.lit(1), key, F.col("text"))
+    again = mutations(docs.filter("id % 5 = 1"), F.lit(2), key, F.lit("revised"))
+    gone = mutations(docs.filter("id % 7 = 3"), F.lit(3), key, F.lit(""))
+    live = state.live(puts.unionByName(again).unionByName(gone))
+    return live.select(F.col("key").cast("string").cast("long").alias("doc_id"), F.octet_length("val").cast("long").alias("bytes"), F.md5("val").alias("digest"))
+
+
+def filled(spark, d) -> KVTable:
+    """A table of the event log, written in four batches, newest first, one of them twice, and merged by levels."""
+    table, own = KVTable(spark, shared_path(spark, "table")), log(spark, d)
+    for number, part in enumerate((3, 2, 1, 0, 0)):
+        table.apply(own.filter(F.col("gen") % 4 == part).select("seq", "op", "key", "val"), min(number, 3), "events")
+    table.compact_if_due(2, 1 << 40)
+    return table
+
+
+@query("SELECT k, v, seq FROM live", f"{_MUT}, {_LIVE}")
+def kv_table_state(spark, d):
+    """R: live state of a persisted table: runs written, listed by manifests, merged and read again."""
+    return shown(filled(spark, d).live(), "seq")
+
+
+@query("SELECT p.k, v, v IS NOT NULL AS found FROM probes p LEFT JOIN live USING (k)", f"{_MUT}, {_LIVE}, {_PROBES}")
+def kv_table_get(spark, d):
+    """R: lookups in a persisted table after a compaction without deletes and a vacuum."""
+    table = filled(spark, d)
+    table.compact(drop_deleted=True)
+    table.vacuum()
+    return shown(table.multi_get(probes(spark, d)), "found")
+
+
+@query("SELECT 0 AS level, CAST(count(DISTINCT k) AS BIGINT) AS entries, CAST(count(DISTINCT CASE WHEN v = '' THEN k END) AS BIGINT) AS deletes, min(k) AS first_key, max(seq) AS last_seq FROM (SELECT k, arg_max(v, seq) AS v, max(seq) AS seq FROM mut WHERE gen % 2 = 0 GROUP BY k) UNION ALL SELECT 0, CAST(count(DISTINCT k) AS BIGINT), CAST(count(DISTINCT CASE WHEN v = '' THEN k END) AS BIGINT), min(k), max(seq) FROM (SELECT k, arg_max(v, seq) AS v, max(seq) AS seq FROM mut WHERE gen % 2 = 1 GROUP BY k)")
+def kv_run_inspect(spark, d):
+    """F: what an inspection of a table's runs tells."""
+    table, own = KVTable(spark, shared_path(spark, "inspected")), log(spark, d)
+    for part in (0, 1):
+        table.apply(own.filter(F.col("gen") % 2 == part).select("seq", "op", "key", "val"))
+    return table.inspected().select("level", "entries", "deletes", F.col("first_key").cast("string").alias("first_key"), "last_seq")
+
+
+@query("SELECT k, v, seq FROM live", f"{_MUT}, {_LIVE}")
+def kv_stream_state(spark, d):
+    """R: live state of a table that a stream of mutation files filled, file by file, in no order of sequence numbers."""
+    files = shared_path(spark, "stream-files")
+    log(spark, d).select("seq", "op", "key", "val").repartition(4, "seq").write.parquet(files)
+    table = KVTable(spark, shared_path(spark, "stream-table"))
+    q = ingest.ingest(ingest.mutation_stream(spark, files, 1), table, shared_path(spark, "stream-checkpoint"), compact={"runs_at_0": 3})
+    q.awaitTermination()
+    return shown(table.live(), "seq")
+
+
+@query("SELECT k, list_reduce(range(1, 8), lambda b, i: CASE WHEN md5(CAST(i AS VARCHAR) || ':' || k) > md5(CAST(b AS VARCHAR) || ':' || k) THEN i ELSE b END, 0)::INT AS shard, list_reduce(range(1, 9), lambda b, i: CASE WHEN md5(CAST(i AS VARCHAR) || ':' || k) > md5(CAST(b AS VARCHAR) || ':' || k) THEN i ELSE b END, 0)::INT AS grown FROM live", f"{_MUT}, {_LIVE}")
+def kv_key_shards(spark, d):
+    """F: the shard of each live key among eight and among nine."""
+    keys = state.live(log(spark, d))
+    return keys.select(F.col("key").cast("string").alias("k"), state.key_shard(F.col("key"), 8).alias("shard"), state.key_shard(F.col("key"), 9).alias("grown"))

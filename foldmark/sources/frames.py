@@ -72,3 +72,23 @@ def responses(requests: DataFrame) -> DataFrame:
     plain = requests.filter(F.col("op") != GET).select("seq", F.when(F.col("op") == ECHO, whole).when(F.col("op").isin(2, 4), F.lit(ACK)).otherwise(F.lit(NOT_FOUND)).alias("response"))
     found = F.concat(F.lit(bytes([FRAME_MAGIC, GET])), big_endian(F.octet_length("key"), 2), big_endian(F.octet_length("val"), 4), "key", "val")
     return plain.unionByName(replay(requests).select("seq", F.coalesce(found, F.lit(NOT_FOUND)).alias("response")))
+
+
+def decoded(streams: DataFrame) -> DataFrame:
+    """The requests of connections' byte streams (path, content): path, place, op, key, val. A connection closes at a wrong magic
+    byte, an oversized or an incomplete frame, and what comes after is not read. One task reads a stream, as framing is
+    sequential; many are read side by side."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows = [(path, i, op, k, v) for i, (op, k, v) in enumerate(frames(bytes(content)))]
+                yield pd.DataFrame(rows, columns=["path", "place", "op", "key", "val"])
+
+    return streams.mapInPandas(run, "path string, place long, op int, key binary, val binary")
+
+
+def frame_bytes(op, key, val):
+    """A request as a binary column."""
+    return F.concat(F.lit(bytes([FRAME_MAGIC])), big_endian(op, 1), big_endian(F.octet_length(key), 2), big_endian(F.octet_length(val), 4), key, val)

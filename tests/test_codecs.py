@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from foldmark.functions.bytes import fnv1a_hex, record_bytes
@@ -103,3 +104,19 @@ def test_bloom(spark):
     assert skipping.bloom_decode(data) == ({i: held.get(i, 0) & (1 << 64) - 1 for i in range(-(-m // 64))}, m, k)
     with pytest.raises(ValueError):
         skipping.bloom_decode(data[:-1])
+    stored = skipping.bloom_encoded(words, m, k)
+    assert bytes(stored.first()["filter"]) == data
+    back = skipping.bloom_decoded(stored).collect()
+    assert {(r.k, r.m) for r in back} == {(k, m)} and {r.word: r.bits for r in back} == {i: held.get(i, 0) for i in range(-(-m // 64))}
+    with pytest.raises(PySparkException):
+        skipping.bloom_decoded(spark.createDataFrame([(bytearray(data[:-1]),)], "filter binary")).collect()
+
+
+def test_streams_and_inspection(spark):
+    ok = frames.encode_frame(PUT, b"k", b"v")
+    rows = frames.decoded(spark.createDataFrame([("a", bytearray(ok + ok + ok[:-1])), ("b", bytearray(b"")), ("c", bytearray(b"\x00" + ok))], "path string, content binary")).collect()
+    assert sorted((r.path, r.place, r.op) for r in rows) == [("a", 0, PUT), ("a", 1, PUT)]
+    data = b"".join(wal.encode_record(*r) for r in LOG)
+    bad = data[:-1] + bytes([data[-1] ^ 1])
+    seen = wal.inspected(spark.createDataFrame([("x", bytearray(bad)), ("y", bytearray(b"\x00" * 12))], "path string, content binary")).orderBy("path", "place").collect()
+    assert [r.valid for r in seen] == [True] * 4 + [False, False] and [r.offset for r in seen][:2] == [0, 20] and seen[-1].magic == 0
