@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (long, long) up to which a side may be broadcast: at most about 64 MB in each executor.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of rows up to which a side may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else df as it is, which joins by a shuffle.
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most `most` bytes, else df as it is, which joins by a shuffle.
 
-    Counting reads df; hand in a staged table.
+    The bytes are measured: 16 and 8 for each column of a row, and what strings, binaries and arrays hold besides. That reads
+    df; hand in a staged table.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    sizes = [F.count(F.lit(1)) * (16 + 8 * len(df.columns))]
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            sizes.append(F.sum(F.octet_length(F.col(f"`{name}`"))))
+        elif kind.startswith("array"):
+            sizes.append(F.sum(F.greatest(F.size(F.col(f"`{name}`")), F.lit(0))) * 8)
+    total = df.agg(sum(F.coalesce(x, F.lit(0)) for x in sizes).alias("bytes")).first()[0]
+    return F.broadcast(df) if total <= most else df
 
 
 def bare(df: DataFrame, taken: set[str], prefix: str = "__") -> str:
