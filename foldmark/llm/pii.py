@@ -1,8 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
 All of it is built-in functions on one row at a time: no shuffle, no Python. Spans are counted in code points, the end
-exclusive. Positions come from cutting the text at the matches: the lengths of the pieces and matches before a match
-say where it begins. The patterns are written with possessive repeats and a look-behind, which keeps matches as they
+exclusive. Each pattern goes over a text once, and the time is linear in the text and its spans. The patterns are written with possessive repeats and a look-behind, which keeps matches as they
 are but makes the time linear and the stack flat on very long runs.
 """
 
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldmark.llm._spans import bind, fold, matches
+
 #: Countries by the length of their IBANs, also those that use IBANs without being registered; BF has had two lengths.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -26,7 +27,7 @@ IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BY_COUNTRY}|(?!{_COUNTRIE
 PATTERNS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
-    "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
+    "card": (r"[0-9](?:[\x20-]?[0-9]){11,}+", None),  # a run of fewer digits would be dropped
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
     "iban": (IBAN, None),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
@@ -91,25 +92,12 @@ def _valid(kind: str, s: Column) -> Column:
 def spans_of(text: Column, kind: str) -> Column:
     """All spans of one kind that pass its checks, as an array of (kind, start, end, text, score)."""
     pattern, need = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def positions(pieces_and_hits: Column) -> Column:
-        pieces, hits = pieces_and_hits["p"], pieces_and_hits["h"]
-        step = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.length(p).cast("long").alias("gap"), F.length(h).cast("long").alias("n"), h.alias("text")))
-        empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,text:string>>").alias("out"))
-        put = lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["text"].alias("text")))).alias("out"))
-        return F.aggregate(step, empty, put, lambda a: a["out"])
-
-    where = F.transform(F.filter(F.array(F.struct(F.split(text, pattern, -1).alias("p"), found.alias("h"))), lambda x: F.size(x["h"]) > 0), positions)
-    spans = F.filter(F.flatten(where), lambda x: _valid(kind, x["text"]))
 
     def scored(x: Column) -> Column:
-        first = F.greatest(x["start"] - NEAR, F.lit(0))
-        before = F.substr(text, (first + 1).cast("int"), (x["start"] - first).cast("int"))
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0))
+        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(x["before"].rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), score.alias("score"))
 
-    out = F.transform(spans, scored)
+    out = F.transform(matches(text, pattern, lambda x, _: _valid(kind, x), NEAR), scored)
     if kind not in BASE:
         out = F.filter(out, lambda x: x["score"] >= THRESHOLD)
     none = F.array().cast(f"array<{SPAN}>")
@@ -144,8 +132,32 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = docs.columns
     rows = find_spans(docs, text_col, "__pii_")
     spans = F.array_sort(F.flatten(F.array(*[F.transform(F.col("__pii_" + k), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("last"), x["kind"].alias("kind"))) for k in PATTERNS])))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    put = lambda a, x: F.when(x["start"] < a["at"], a).otherwise(F.struct((-x["last"]).alias("at"), F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).alias("out")))
-    done = F.aggregate(spans, empty, put, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"))))
+    blocks = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = bind(F.struct(spans.alias("spans"), blocks.alias("blocks")), _replaced)
     return rows.withColumn(text_col, F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(done)).select(*names)
+
+
+#: Code points of the pieces out of which redacted() puts a text together again.
+PIECE = 1024
+
+
+def _replaced(x: Column) -> Column:
+    """The text of x.blocks, pieces of PIECE code points, with x.spans (start, last, kind), in order, replaced."""
+    blocks, n = x["blocks"], F.size(x["spans"])
+    total = F.when(F.size(blocks) > 0, (F.size(blocks) - 1) * PIECE + F.length(F.element_at(blocks, -1))).otherwise(F.lit(0)).cast("long")
+
+    def cut(a: Column, b: Column) -> Column:
+        def part(k: Column) -> Column:
+            first = F.greatest(a - k * PIECE, F.lit(0).cast("long"))
+            return F.substr(F.get(blocks, k), (first + 1).cast("int"), (F.least(b - k * PIECE, F.lit(PIECE).cast("long")) - first).cast("int"))
+
+        block = lambda v: F.call_function("div", v, F.lit(PIECE).cast("long")).cast("int")
+        return F.when(a < b, F.transform(F.sequence(block(a), block(F.greatest(b - 1, a))), part)).otherwise(F.array().cast("array<string>"))
+
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
+        span = F.get(x["spans"], i)
+        put = F.concat(cut(at, span["start"]), F.array(F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))))
+        rest = F.when(i < n, F.when(span["start"] >= at, put).otherwise(F.array().cast("array<string>"))).otherwise(cut(at, total))
+        return F.when((i < n) & (span["start"] >= at), -span["last"]).otherwise(at), rest
+
+    return F.array_join(fold(n + 1, F.lit(0).cast("long"), step, "string"), "")  # the last step puts out what is left
