@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldmark.llm._shared import bare, staged
+from foldmark.llm._shared import bare, small, staged
 
 PRIME = (1 << 31) - 1
 ROUNDS = 4
@@ -82,45 +82,83 @@ def permutation(x: Column, n: int, seed: int) -> Column:
     return F.transform(F.array(place), lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("the walk is too long; take another seed")).cast("long")))[0]
 
 
-def numbered(df: DataFrame, digest: Column, ties: list[Column], name: str = "row_number", digits: int = 3) -> tuple[DataFrame, int]:
+#: Rows of a bucket at about which buckets are made finer.
+BUCKET_ROWS = 1 << 20
+
+
+def numbered(df: DataFrame, digest: Column, ties: list[Column], name: str = "row_number", times: str | None = None) -> tuple[DataFrame, int]:
     """df with global row numbers from 0, in order of digest (a hexadecimal string) and ties, and the number of rows.
 
-    The first digits of the digest deal rows into 16**digits buckets; the counts of the buckets, which don't grow
-    with the input, give each bucket's first number. So no task sees more than one bucket's rows. Rows that are equal
-    in digest and ties are interchangeable. df is read twice; hand in a staged table if it's costly.
+    The first digits of the digest deal rows into buckets, at least 4,096 and so many that one holds about BUCKET_ROWS rows;
+    the counts of the buckets give each bucket's first number. So no task sees more than one bucket's rows. Rows that are
+    equal in digest and ties are interchangeable and lie in one bucket: where there may be many, hand in one row for
+    all of them and the column `times` with how many there are, whose numbers then follow that of the row. df is read twice;
+    hand in a staged table if it's costly.
     """
     key, bucket, at = (bare(df, {name}, p) for p in ("__digest", "__bucket", "__at"))
-    rows = df.withColumn(key, digest).withColumn(bucket, F.substring(key, 1, digits))
-    counts = staged(rows.groupBy(bucket).count(), "buckets")
+    weight = F.lit(1).cast("long") if times is None else F.col(times)
+    rows = df.withColumn(key, digest)
+    digits = max(3, math.ceil(math.log(max(1, df.count()) / BUCKET_ROWS, 16)))
+    rows = rows.withColumn(bucket, F.substring(key, 1, digits))
+    counts = staged(rows.groupBy(bucket).agg(F.sum(weight).alias("count")), "buckets")
     n = counts.agg(F.sum("count")).first()[0] or 0
     first = counts.select(bucket, (F.sum("count").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias(at))
-    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(bucket).orderBy(key, *ties)).cast("long"))
-    return rows.join(F.broadcast(first), bucket).withColumn(name, F.col(name) - 1 + F.col(at)).drop(key, bucket, at), n
+    own = Window.partitionBy(bucket).orderBy(key, *ties)
+    rows = rows.withColumn(name, F.row_number().over(own).cast("long") if times is None else F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)) - weight + 1)
+    return rows.join(small(staged(first, "bucket-starts")), bucket).withColumn(name, F.col(name) - 1 + F.col(at)).drop(key, bucket, at), n
 
 
-def assign_shards(df: DataFrame, shards: int, digest: Column, ties: list[Column], seed: int = 20) -> DataFrame:
-    """df with shard int and slot long, gapless from 0 in each shard. Columns of those names are replaced.
+def assign_shards(df: DataFrame, shards: int, digest: Column, ties: list[Column], seed: int = 20, times: str | None = None, names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
+    """df with two more columns, shard int and slot long, gapless from 0 in each shard.
 
-    Every row counts, repeated rows each for themselves; an empty table gives an empty one. The same rows in
-    any order or partitioning get the same places, up to rows equal in digest and ties.
+    Every row counts, repeated rows each for themselves; an empty table gives an empty one. The same rows in any order or
+    partitioning get the same places, up to rows equal in digest and ties. With `times`, a row comes out as often as that
+    column says, each time with a place of its own. All columns pass through; one that has the name of a new one fails.
     """
-    df = df.drop("shard", "slot")
-    number = bare(df, {"shard", "slot"}, "__number")
-    rows, n = numbered(df, digest, ties, number)
-    place = bare(rows, {"shard", "slot"}, "__place")
+    if clash := {c.lower() for c in df.columns} & {c.lower() for c in names}:
+        raise ValueError(f"columns are there already: {sorted(clash)}; pass other names")
+    number = bare(df, set(names), "__number")
+    rows, n = numbered(df, digest, ties, number, times)
+    if times is not None:
+        rows = rows.filter(F.col(times) > 0).withColumn(number, F.explode(F.sequence(F.col(number), F.col(number) + F.col(times) - 1)))
+    place = bare(rows, set(names), "__place")
     rows = rows.withColumn(place, permutation(F.col(number), max(n, 1), seed))
-    return rows.withColumn("shard", (F.col(place) % shards).cast("int")).withColumn("slot", _div(F.col(place), shards)).drop(number, place)
+    return rows.withColumn(names[0], (F.col(place) % shards).cast("int")).withColumn(names[1], _div(F.col(place), shards)).drop(number, place)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
     """Shards of documents by the law `rows`: doc_id, size (UTF-8 bytes of the text, null having none, plus 1),
-    text_crc32, law, shard, slot, grown_shard (null). Nulls may stand in any column; other columns are not read."""
-    light = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")), "sizes")
+    text_crc32, law, shard, slot, grown_shard (null). Nulls may stand in any column; other columns are not read. Rows equal
+    in the first three are counted before anything is dealt out, so a document that repeats often makes no hot bucket."""
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    light = staged(light.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("times")), "sizes")
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text_crc32").cast("string")).cast("binary"))
-    placed = assign_shards(light, shards, digest, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], seed)
+    placed = assign_shards(light, shards, digest, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], seed, "times")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
     """Write the rows of assign_shards() as one folder for each shard, in order of slot within its files."""
     df.repartition("shard", F.call_function("div", F.col("slot"), F.lit(1 << 20).cast("long"))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def _sql_network(left: str, right: str) -> str:
+    """The network's rounds as SELECTs, one inside the other."""
+    at = f"SELECT *, {left} AS l, {right} AS r FROM walk WHERE v >= n OR step = 0"
+    for i, (mul, add) in enumerate(_constants(20)):
+        side = "r" if i % 2 == 0 else "l"
+        t = f"((({side} % {PRIME} * {mul} + {add}) % {PRIME}) * (({side} % {PRIME} * {mul} + {add}) % {PRIME}) % {PRIME}) // 7"
+        at = f"SELECT * REPLACE ({f'(l + {t}) % a AS l' if i % 2 == 0 else f'(r + {t}) % b AS r'}) FROM ({at})"
+    return at
+
+
+#: The CRC32 table and sum are written out by list functions; crc32 is unknown there.
+SQL = rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+c AS (SELECT doc_id, strlen(x) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda s, b: xor(s // 256, t[(xor(s, b) % 256) + 1]))) AS crc FROM d, tab),
+k AS (SELECT *, row_number() OVER (ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || CAST(crc AS VARCHAR)), doc_id NULLS FIRST, crc, size) - 1 AS i, count(*) OVER () AS n, greatest(1, floor(sqrt(count(*) OVER ()))::BIGINT) AS b FROM c),
+walk AS (SELECT i, i AS v, n, b, (n + b - 1) // b AS a, 0 AS step FROM k UNION ALL SELECT i, l * b + r AS v, n, b, a, step + 1 AS step FROM ({_sql_network("v // b", "v % b")})),
+place AS (SELECT i, v FROM walk WHERE v < n AND step > 0)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (v % 8)::INT AS shard, v // 8 AS slot, NULL::INT AS grown_shard FROM k JOIN place USING (i)
+"""
