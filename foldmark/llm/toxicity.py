@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are whether a text holds a word, a pair of neighbouring words, a triple, or a pair with one word between,
-each hashed into 2**BITS places. Each coordinate has its own rate, and the L1 term leaves most at zero: the
+each hashed into 2**BITS places. Words alone count 1, the others GRAM: a single word needs less evidence to get a weight
+past the L1 term than one of the many pairs and triples that hold it. Each coordinate has its own rate, and the L1 term leaves most at zero: the
 weights that remain are a short list, small enough to go along with every task.
 """
 
@@ -22,10 +23,13 @@ TRAIN_TOXIC, TRAIN_CLEAN = 4000, 6000
 THRESHOLD = 0.3
 #: A feature that fewer rows of the sample hold is not learnt.
 MIN_ROWS = 4
+#: The value of a feature of several words.
+GRAM = 0.5
 
 
 def places(h: np.ndarray) -> np.ndarray:
-    """The places of all features of a text from its words' hashes, in no order, repeats included."""
+    """The places of all features of a text from its words' hashes: the words' first, then those of several words. Repeats are
+    included. The lowest bit of a place says which it is (1: a word), so a place alone tells its value."""
     m = np.uint64(0x9E3779B97F4A7C15)
     parts = [h]
     if len(h) > 1:
@@ -33,11 +37,19 @@ def places(h: np.ndarray) -> np.ndarray:
     if len(h) > 2:
         parts.append((h[:-2] * m + h[1:-1]) * m + h[2:] + np.uint64(2))
         parts.append(h[:-2] * m + h[2:] + np.uint64(3))
-    return (mixed(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.uint32)
+    at = (mixed(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.uint32)
+    at[: len(h)] |= np.uint32(1)
+    at[len(h) :] &= ~np.uint32(1)
+    return at
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places, weights and bias. rows: the distinct places of each example, all features 1."""
+def values(at: np.ndarray) -> np.ndarray:
+    """What the features at these places count."""
+    return np.where(at & 1, 1.0, GRAM)
+
+
+def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0, epochs: int = 12) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places, weights and bias. rows: the distinct places of each example. A weight is already times its feature's value."""
     if not rows:
         return np.zeros(0, np.uint32), np.zeros(0), 0.0
     count = np.zeros(1 << BITS, np.int32)
@@ -48,6 +60,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0,
     number[seen] = np.arange(len(seen))
     z, n = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
     local = [np.append(at[at >= 0], len(seen)).astype(np.int32) for at in (number[r] for r in rows)]
+    value = np.append(values(seen), 1.0)
 
     def weight(i: np.ndarray) -> np.ndarray:
         one = np.where(i == len(seen), 0.0, l1)  # the bias has no penalty
@@ -55,12 +68,12 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0,
 
     for _ in range(epochs):
         for i, y in zip(local, labels):
-            w = weight(i)
-            g = 1 / (1 + math.exp(-max(-30.0, min(30.0, w.sum())))) - y
+            w, x = weight(i), value[i]
+            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, float(w @ x))))) - y) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - sigma * w
             n[i] += g * g
-    w = weight(np.arange(len(seen) + 1))
+    w = weight(np.arange(len(seen) + 1)) * value
     kept = np.flatnonzero(w[:-1])
     return seen[kept], w[kept], float(w[-1])
 
@@ -77,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
     import pyarrow as pa
 
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi")
     known = staged(known, "labelled")
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = {1: toxic_rows, 0: clean_rows}
@@ -90,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": b["y"], "f": pa.array(out, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").mapInArrow(features, "doc_id long, y int, f binary")
+
     def learn(batches):
         y, ids, data = [], [], []
         for b in batches:
