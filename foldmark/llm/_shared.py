@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,11 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="foldmark-")
+        own = tempfile.mkdtemp(prefix="foldmark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the staged tables that are there, oldest first.
+_staged: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -39,9 +47,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df staged, and all tables that were staged since the mark (see mark()) gone: what led to df is not needed again."""
+    out = staged(df, name)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in _staged[since:-1]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _staged[since:-1]
+    return out
+
+
+def mark() -> int:
+    return len(_staged)
+
+
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its rows take at most `most` bytes, else df as it is, which joins by a shuffle.
 
