@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldmark.llm._shared import staged, table
+from foldmark.llm._shared import finished, mark, table
 from foldmark.llm.decontaminate import decontaminated
 from foldmark.llm.mixing import mixed_documents
 from foldmark.llm.near_dup import without_near_duplicates
@@ -47,9 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    """All stages over documents. Once a stage's rows are written, what led to them goes, so the disk holds one stage's tables."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
+    for name, stage in STAGES[:-1]:
+        docs = finished(stage(spark, docs, sf_dir), f"pipeline-{name}", since)
+    return STAGES[-1][1](spark, docs, sf_dir)
