@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldmark.functions.bytes import fnv1a_hex, record_crc
-from foldmark.model import DELETE, ECHO, GET, PUT, mutations
+from foldmark.model import DELETE, ECHO, GET, MUTATION, PUT, mutations
 from foldmark.operators import runs, skipping, state
 from foldmark.sources import frames, wal
 from foldmark.sources.scratch import shared_path
@@ -510,3 +510,32 @@ def kv_key_shards(spark, d):
     """F: the shard of each live key among eight and among nine."""
     keys = state.live(log(spark, d))
     return keys.select(F.col("key").cast("string").alias("k"), state.key_shard(F.col("key"), 8).alias("shard"), state.key_shard(F.col("key"), 9).alias("grown"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM nation WHERE n_regionkey <> 1", "")
+def kv_open_log(spark, d):
+    """R: a table opened over a log folder: puts in one segment, deletes in the next, and a torn tail behind them."""
+    log = wal.WriteAheadLog(spark, shared_path(spark, "log")).open()
+    nations = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()
+    for r in nations:
+        log.append(PUT, str(r["n_nationkey"]).encode(), r["n_name"].encode())
+    log.sync()
+    for r in nations:
+        if r["n_regionkey"] == 1:
+            log.append(DELETE, str(r["n_nationkey"]).encode())
+    log.close()
+    log.tear(b"\xa1torn")
+    return shown(KVTable.open(spark, shared_path(spark, "opened"), log.path).live())
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS k, CASE WHEN r_regionkey % 2 = 0 THEN r_name || ' again' END AS v FROM region", "")
+def kv_table_ops(spark, d):
+    """R: single puts, overwrites, deletes and gets."""
+    table = KVTable(spark, shared_path(spark, "ops"))
+    regions = spark.read.parquet(f"{d}/region.parquet").orderBy("r_regionkey").collect()
+    names = {str(r["r_regionkey"]): r["r_name"] for r in regions}
+    table.apply(spark.createDataFrame([(i, PUT, bytearray(k.encode()), bytearray(v.encode())) for i, (k, v) in enumerate(names.items())], MUTATION))
+    for k, v in names.items():
+        table.put(k.encode(), f"{v} again".encode()) if int(k) % 2 == 0 else table.delete(k.encode())
+    got = {k: table.get(k.encode()) for k in names}
+    return spark.createDataFrame([(k, v.decode() if v else None) for k, v in got.items()], "k string, v string")

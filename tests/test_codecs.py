@@ -120,3 +120,20 @@ def test_streams_and_inspection(spark):
     bad = data[:-1] + bytes([data[-1] ^ 1])
     seen = wal.inspected(spark.createDataFrame([("x", bytearray(bad)), ("y", bytearray(b"\x00" * 12))], "path string, content binary")).orderBy("path", "place").collect()
     assert [r.valid for r in seen] == [True] * 4 + [False, False] and [r.offset for r in seen][:2] == [0, 20] and seen[-1].magic == 0
+
+
+def test_inspection_of_files(spark, tmp_path):
+    from foldmark.inspect import inspected
+    from foldmark.sources.table import KVTable
+
+    (tmp_path / "f").write_bytes(skipping.bloom_encode({0: 7}, 128, 3))
+    assert tuple(inspected(spark, "filter", str(tmp_path / "f")).first()) == (3, 128, 3)
+    log = wal.WriteAheadLog(spark, str(tmp_path / "log"))
+    log.append(PUT, b"k", b"v")
+    log.close()
+    log.tear(b"\xa1" * 12)
+    assert [r.valid for r in inspected(spark, "log", f"{tmp_path}/log/log-*").orderBy("place").collect()] == [True, False]
+    KVTable.open(spark, str(tmp_path / "t"), log.path)
+    assert inspected(spark, "runs", str(tmp_path / "t")).first().entries == 1
+    with pytest.raises(ValueError):
+        inspected(spark, "x", str(tmp_path))
