@@ -89,3 +89,11 @@ def bare(df: DataFrame, taken: set[str], prefix: str = "__") -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def free(df: DataFrame, names: tuple[str, ...]) -> tuple[str, ...]:
+    """Names for new columns: those given, with underscores after one that df has already."""
+    out: list[str] = []
+    for name in names:
+        out.append(bare(df, set(out), name))
+    return tuple(out)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldmark.llm._shared import bare, small, staged, table
+from foldmark.llm._shared import bare, free, small, staged, table
 
 #: Tags that end a line of text.
 BLOCKS = "p|div|li|ul|ol|nav|h[1-6]|tr|table|article|section|header|footer|aside|title|head|body|html|br|hr|blockquote|pre"
@@ -36,11 +36,9 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.5, min_pages: int = 2, u
     A line goes if the pages that hold it are more than `ratio` of its host's pages. On hosts with fewer than min_pages pages
     all lines stay: where there is one page, every line stands on all pages of the host, which says nothing; 1 applies the ratio
     there, too. Pages of null or unreadable URLs share the host ''. Null html has no lines. Rows repeated count as
-    pages of their own. All columns pass through; one that has the name of a new one fails: choose other names then.
+    pages of their own. All columns pass through; a new one whose name is taken gets underscores after it.
     """
-    if clash := {c.lower() for c in pages.columns} & {c.lower() for c in names}:
-        raise ValueError(f"columns are there already: {sorted(clash)}; pass other names")
-    host, lines, n_lines, n_dropped = names
+    host, lines, n_lines, n_dropped = names = free(pages, names)
     kept, drop, pages_n = (bare(pages, set(names), p) for p in ("__kept", "__drop", "__pages"))
     rows = pages.withColumn(host, host_of(F.col(url_col))).withColumn(lines, F.transform(lines_of(F.col(html_col)), lambda x: F.trim(x)))
     line = lambda x: F.xxhash64(x)

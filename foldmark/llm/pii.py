@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldmark.llm._shared import free
 from foldmark.llm._spans import bind, fold, matches
 
 #: Countries by the length of their IBANs, also those that use IBANs without being registered; BF has had two lengths.
@@ -104,12 +105,17 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(need)), out).otherwise(none) if need else out
 
 
+def span_columns(docs: DataFrame, out_prefix: str = "pii_") -> dict[str, str]:
+    """The names of the columns that find_spans() adds, by kind: out_prefix and the kind, with underscores where that is taken."""
+    return dict(zip(PATTERNS, free(docs, tuple(out_prefix + k for k in PATTERNS))))
+
+
 def find_spans(docs: DataFrame, text_col: str = "text", out_prefix: str = "pii_") -> DataFrame:
-    """docs with an array column pii_<kind> for each kind. Null texts are empty; other columns pass through, those of
-    the same names are replaced. Per kind spans are leftmost and don't overlap; spans of two kinds may. A base span is
-    kept whatever it scores; iban needs its checksum, and ssn, which has none, needs words nearby."""
+    """docs with an array column pii_<kind> for each kind (see span_columns()). Null texts are empty; all other columns pass
+    through. Per kind spans are leftmost and don't overlap; spans of two kinds may. A base span is kept whatever it
+    scores; iban needs its checksum, and ssn, which has none, needs words nearby."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({out_prefix + kind: spans_of(text, kind) for kind in PATTERNS})
+    return docs.withColumns({name: spans_of(text, kind) for kind, name in span_columns(docs, out_prefix).items()})
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -129,12 +135,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each found span's text replaced by <KIND>; of overlapping spans the leftmost, then the longest, goes."""
-    names = docs.columns
+    names, found = docs.columns, span_columns(docs, "__pii_")
     rows = find_spans(docs, text_col, "__pii_")
-    spans = F.array_sort(F.flatten(F.array(*[F.transform(F.col("__pii_" + k), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("last"), x["kind"].alias("kind"))) for k in PATTERNS])))
+    spans = F.array_sort(F.flatten(F.array(*[F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("last"), x["kind"].alias("kind"))) for name in found.values()])))
     blocks = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
     done = bind(F.struct(spans.alias("spans"), blocks.alias("blocks")), _replaced)
-    return rows.withColumn(text_col, F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(done)).select(*names)
+    return rows.withColumn(text_col, F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(done)).select(*[F.col(f"`{c}`") for c in names])
 
 
 #: Code points of the pieces out of which redacted() puts a text together again.

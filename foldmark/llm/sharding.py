@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldmark.llm._shared import bare, small, staged
+from foldmark.llm._shared import bare, free, small, staged
 
 PRIME = (1 << 31) - 1
 ROUNDS = 4
@@ -113,10 +113,10 @@ def assign_shards(df: DataFrame, shards: int, digest: Column, ties: list[Column]
 
     Every row counts, repeated rows each for themselves; an empty table gives an empty one. The same rows in any order or
     partitioning get the same places, up to rows equal in digest and ties. With `times`, a row comes out as often as that
-    column says, each time with a place of its own. All columns pass through; one that has the name of a new one fails.
+    column says, each time with a place of its own. All columns pass through; a new one whose name is taken gets underscores after
+    it.
     """
-    if clash := {c.lower() for c in df.columns} & {c.lower() for c in names}:
-        raise ValueError(f"columns are there already: {sorted(clash)}; pass other names")
+    names = free(df, names)
     number = bare(df, set(names), "__number")
     rows, n = numbered(df, digest, ties, number, times)
     if times is not None:
