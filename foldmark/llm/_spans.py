@@ -47,7 +47,8 @@ def matches(text: Column, pattern: str, valid: Callable[[Column, Column], Column
     Places are code points, the end exclusive; before and after (if asked for) are up to `context` code points next to the
     match. Neither the pattern nor a match may hold characters beyond ASCII. Null text gives null.
     """
-    pieces = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
+    pieces = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1)
     last = lambda s: F.substr(s, F.greatest(F.length(s) - context, F.lit(0)) + 1)
 
     def places(p: Column) -> Column:
