@@ -97,15 +97,19 @@ def numbered(df: DataFrame, digest: Column, ties: list[Column], name: str = "row
     """
     key, bucket, at = (bare(df, {name}, p) for p in ("__digest", "__bucket", "__at"))
     weight = F.lit(1).cast("long") if times is None else F.col(times)
-    rows = df.withColumn(key, digest)
-    digits = max(3, math.ceil(math.log(max(1, df.count()) / BUCKET_ROWS, 16)))
-    rows = rows.withColumn(bucket, F.substring(key, 1, digits))
-    counts = staged(rows.groupBy(bucket).agg(F.sum(weight).alias("count")), "buckets")
-    n = counts.agg(F.sum("count")).first()[0] or 0
+    digits = 3
+    while True:
+        rows = df.withColumn(key, digest).withColumn(bucket, F.substring(key, 1, digits))
+        counts = staged(rows.groupBy(bucket).agg(F.sum(weight).alias("count"), F.count(F.lit(1)).alias("rows")), "buckets")
+        n, most = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.avg("rows"), F.lit(0))).first()
+        if most <= BUCKET_ROWS:
+            break
+        digits += max(1, math.ceil(math.log(most / BUCKET_ROWS, 16)))
     first = counts.select(bucket, (F.sum("count").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias(at))
+    first = F.broadcast(first) if digits <= 4 else small(staged(first, "bucket-starts"))  # a row for each bucket
     own = Window.partitionBy(bucket).orderBy(key, *ties)
     rows = rows.withColumn(name, F.row_number().over(own).cast("long") if times is None else F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)) - weight + 1)
-    return rows.join(small(staged(first, "bucket-starts")), bucket).withColumn(name, F.col(name) - 1 + F.col(at)).drop(key, bucket, at), n
+    return rows.join(first, bucket).withColumn(name, F.col(name) - 1 + F.col(at)).drop(key, bucket, at), n
 
 
 def assign_shards(df: DataFrame, shards: int, digest: Column, ties: list[Column], seed: int = 20, times: str | None = None, names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
