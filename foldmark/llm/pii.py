@@ -35,14 +35,16 @@ PATTERNS = {
 }
 BASE = ("email", "ip", "card", "phone")
 #: Words that, within NEAR code points before a span, speak for its kind; each list is a regular expression.
-CONTEXT = {
-    "email": r"(?i)\b(?:e-?mail|mail|contact|write to|kontakt|correo|courriel)\b",
-    "ip": r"(?i)\b(?:ip|address|host|server|client|adresse)\b",
-    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte|payment)\b",
-    "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|tel[eé]fono|t[eé]l[eé]phone)\b",
-    "iban": r"(?i)\b(?:iban|account|bank|konto|cuenta|compte|transfer)\b",
-    "ssn": r"(?i)\b(?:ssn|social security|tax id)\b",
+CONTEXT_WORDS = {
+    "email": "e-?mail|mail|contact|write to|kontakt|correo|courriel",
+    "ip": "ip|address|host|server|client|adresse",
+    "card": "card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte|payment",
+    "phone": "phone|tel|call|mobile|fax|telefon|tel[eé]fono|t[eé]l[eé]phone",
+    "iban": "iban|account|bank|konto|cuenta|compte|transfer",
+    "ssn": "ssn|social security|tax id",
 }
+#: Whole words only. Which letters end a word is said here, as \b differs between versions of Java.
+CONTEXT = {kind: rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])" for kind, words in CONTEXT_WORDS.items()}
 NEAR = 40
 #: What a span scores by its pattern and checksum alone; words nearby add CONTEXT_GAIN.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.85, "phone": 0.75, "iban": 0.95, "ssn": 0.4}
@@ -167,3 +169,39 @@ def _replaced(x: Column) -> Column:
         return F.when((i < n) & (span["start"] >= at), -span["last"]).otherwise(at), rest
 
     return F.array_join(fold(n + 1, F.lit(0).cast("long"), step, "string"), "")  # the last step puts out what is left
+
+
+#: A pattern of each kind for DuckDB, whose expressions know no look-around, and the form of text t that it is for: what a boundary
+#: must not touch are word characters there, all else is none. Lengths stay, so places do, too.
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "t"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "t"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "t"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "t"),
+    "iban": (rf"\b(?:{_BY_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})\b", "translate(t, '_', '-')"),
+    "ssn": (r"\b[0-9]{3}_[0-9]{2}_[0-9]{4}\b", "translate(regexp_replace(t, '[^0-9-]', ' ', 'g'), '-', '_')"),
+}
+_SQL_MATCHES = " UNION ALL ".join(
+    f"SELECT r, '{kind}' AS kind, {rank} AS rank, string_split(regexp_replace({form}, '{pattern}', chr(64976) || '\\0' || chr(64976), 'g'), chr(64976)) AS p FROM d"
+    for rank, (kind, (pattern, form)) in enumerate(_SQL_KINDS.items())
+)
+_SQL_LENGTH = "CASE " + " ".join(f"WHEN list_contains({codes.split()!r}, s[1:2]) THEN {n}" for n, codes in IBAN_LENGTHS.items()) + " END"
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, replace(coalesce(text, ''), chr(64976), chr(64977)) AS t FROM documents),
+p AS ({_SQL_MATCHES}),
+u AS (SELECT r, kind, rank, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM p WHERE len(p) > 1),
+w AS (SELECT *, sum(length(s)) OVER (PARTITION BY r, kind ORDER BY i)::BIGINT AS b FROM u),
+m AS (SELECT r, kind, rank, s, b - length(s) AS a, b, regexp_replace(s, '[^0-9]', '', 'g') AS g, replace(s, ' ', '') AS n FROM w WHERE i % 2 = 0),
+x AS (SELECT m.* FROM m JOIN d USING (r) WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS BIGINT), 0) > 255)) = 0
+  WHEN 'card' THEN length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(g)), lambda i: CASE WHEN i % 2 = 0 THEN reverse(g)[i + 1]::INT ELSE 2 * reverse(g)[i + 1]::INT - CASE WHEN reverse(g)[i + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 'phone' THEN length(g) BETWEEN 9 AND 15
+  WHEN 'iban' THEN coalesce(length(n) = {_SQL_LENGTH}, s = n AND length(n) BETWEEN 15 AND 34)
+    AND list_reduce(list_prepend(0, list_transform(string_split(n[5:] || n[1:4], ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda a, c: (a * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1
+  WHEN 'ssn' THEN NOT regexp_matches(s, '^(000|666|9)|_00_|_0000$') AND regexp_matches(substring(t, greatest(a - {NEAR}, 0) + 1, least(a, {NEAR})), '(?i)(^|[^\p{{L}}\p{{N}}_])({CONTEXT_WORDS["ssn"]})($|[^\p{{L}}\p{{N}}_])')
+  ELSE true END)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in PATTERNS)},
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN x USING (r) GROUP BY r, doc_id
+"""

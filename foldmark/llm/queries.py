@@ -58,4 +58,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_secret_scan, op3_token_ids, op4_decontaminate, op5_toxicity, op6_sharding, op7_pii, op8_near_dup, op9_mixing, op10_line_dedup)}
-ORACLE_SQL = {"op1_topk_search": topk_search.SQL, "op4_decontaminate": decontaminate.SQL, "op6_sharding": sharding.SQL, "op9_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op1_topk_search": topk_search.SQL, "op4_decontaminate": decontaminate.SQL, "op6_sharding": sharding.SQL, "op7_pii": pii.SQL, "op9_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}

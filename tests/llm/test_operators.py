@@ -364,6 +364,22 @@ def edits(a, b):
     return row[-1]
 
 
+def test_pii_against_sql_on_mixed_kinds(spark):
+    r = random.Random(4)
+    bits = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "DE89370400440532013001", "NO93 8601 1117 947", "XX82123456789012345"]
+    bits += ["ssn 123-45-6789", "tax id", "987-65-4321", "000-12-3456", "4111 1111 1111 1111", "+1 (988) 555-2485", "1.2.3.4", "0256.1.1.1", "a@b.c", "é", "_", "-", "\n", "Please", "BIC COBADEFFXXX", " ", "x" * 45]
+    made = [(i, "".join(r.choice(bits) + r.choice(["", " ", " ", "_", "-"]) for _ in range(r.randint(0, 9)))) for i in range(1200)] + [(1200, None), (None, "a@b.c"), (5, ""), (5, "")]
+    got = pii.digests(spark.createDataFrame(made, "doc_id long, text string"))
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", made)
+    want = c.sql(pii.SQL)
+    at = [want.columns.index(x) for x in got.columns]
+    rows = [tuple(x) for x in got.collect()]
+    assert sorted(rows, key=repr) == sorted((tuple(x[i] for i in at) for x in want.fetchall()), key=repr)
+    assert sum(x[got.columns.index("n_iban")] for x in rows) > 100 and sum(x[got.columns.index("n_ssn")] for x in rows) > 50
+
+
 def test_iban_before_words_and_numbers(spark):
     ibans = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
     after = [" Please", " BIC COBADEFFXXX", " 12345", " DANKE", " or", ";", ""]
