@@ -5,13 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows up to which a side may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Seconds to wait for the figures of a written table, which a busy driver may drop, before they are read from the table.
+FIGURES_WAIT = 10.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldmark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return _kept(spark, df, path)
+
+
+def measured(df: DataFrame, name: str, **more: Column) -> tuple[DataFrame, dict]:
+    """staged(df) and figures that are taken while it is written, without another job: bytes, as small() measures them, and
+    what the aggregates `more` give."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{shared_dir(spark)}/foldmark-{name}-{uuid.uuid4().hex}"
+    exprs = [_bytes(df).alias("bytes"), *[c.alias(k) for k, c in more.items()]]
+    df.observe(seen, *exprs).write.parquet(path)
+    out, until = _kept(spark, df, path), time.monotonic() + FIGURES_WAIT
+    while not (there := seen._jo.future().isCompleted()) and time.monotonic() < until:
+        time.sleep(0.005)
+    return out, (there and seen.get) or out.agg(*exprs).first().asDict()
+
+
+def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -66,20 +86,24 @@ def mark() -> int:
     return len(_staged)
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
     """df with a broadcast hint if its rows take at most `most` bytes, else df as it is, which joins by a shuffle.
 
-    The bytes are measured: 16 and 8 for each column of a row, and what strings, binaries and arrays hold besides. That reads
-    df; hand in a staged table.
+    The bytes are measured, which reads df: hand in a staged table, or the `size` that measured() has found.
     """
+    total = df.agg(_bytes(df).alias("bytes")).first()[0] if size is None else size
+    return F.broadcast(df) if total <= most else df
+
+
+def _bytes(df: DataFrame) -> Column:
+    """The bytes of df's rows: 16 and 8 for each column of a row, and what strings, binaries and arrays hold besides."""
     sizes = [F.count(F.lit(1)) * (16 + 8 * len(df.columns))]
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
             sizes.append(F.sum(F.octet_length(F.col(f"`{name}`"))))
         elif kind.startswith("array"):
             sizes.append(F.sum(F.greatest(F.size(F.col(f"`{name}`")), F.lit(0))) * 8)
-    total = df.agg(sum(F.coalesce(x, F.lit(0)) for x in sizes).alias("bytes")).first()[0]
-    return F.broadcast(df) if total <= most else df
+    return sum(F.coalesce(x, F.lit(0)) for x in sizes)
 
 
 def bare(df: DataFrame, taken: set[str], prefix: str = "__") -> str:

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldmark.llm._shared import bare, free, small, staged
+from foldmark.llm._shared import bare, free, measured, small, staged
 
 PRIME = (1 << 31) - 1
 ROUNDS = 4
@@ -100,8 +100,8 @@ def numbered(df: DataFrame, digest: Column, ties: list[Column], name: str = "row
     digits = 3
     while True:
         rows = df.withColumn(key, digest).withColumn(bucket, F.substring(key, 1, digits))
-        counts = staged(rows.groupBy(bucket).agg(F.sum(weight).alias("count"), F.count(F.lit(1)).alias("rows")), "buckets")
-        n, most = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.avg("rows"), F.lit(0))).first()
+        counts, has = measured(rows.groupBy(bucket).agg(F.sum(weight).alias("count"), F.count(F.lit(1)).alias("rows")), "buckets", n=F.sum("count"), most=F.avg("rows"))
+        n, most = has["n"] or 0, has["most"] or 0
         if most <= BUCKET_ROWS:
             break
         digits += max(1, math.ceil(math.log(most / BUCKET_ROWS, 16)))

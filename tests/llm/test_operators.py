@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldmark.llm import decontaminate, line_dedup, mixing, near_dup, pii, queries, secret_scan, sharding, token_store, topk_search, toxicity
+from foldmark.llm import _shared, decontaminate, line_dedup, mixing, near_dup, pii, queries, secret_scan, sharding, token_store, topk_search, toxicity
 from foldmark.llm._graph import connected
 from foldmark.llm._words import word_hashes
 
@@ -36,6 +36,17 @@ def real(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+def test_figures_of_written_tables(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "a" * i, [1] * i) for i in range(50)], "k long, s string, a array<int>")
+    want = {"bytes": 50 * (16 + 8 * 3) + 1225 + 1225 * 8, "top": 49}
+    for wait in (10.0, 0.0):  # from the write, or from the table where the write's figures don't come
+        monkeypatch.setattr(_shared, "FIGURES_WAIT", wait)
+        out, seen = _shared.measured(rows, "figures", top=F.max("k"))
+        assert seen == want and out.count() == 50
+        for none in (rows.filter("k < 0"), rows.limit(0), rows.filter("k < 0").groupBy("k").agg(F.max("s").alias("s"))):
+            assert _shared.measured(none, "figures", top=F.max("k"))[1] == {"bytes": 0, "top": None}
+
+
 def test_word_hashes_at_piece_borders():
     text = "ab cd " * 500_000
     h = next(iter(word_hashes([text])))
