@@ -6,11 +6,14 @@ so many times, and those up to where the target ends. A tree splits the quotas o
 node the left half of the shards draws its part of the node's blocks without replacement, which makes its numbers of blocks by
 source multivariate-hypergeometric. The draws are made by a random order of all blocks, of which each node holds a stretch
 and its left child the first part; so they are exact at all sizes, need no list of sources in one place, and
-the tree's leaves are known from a block's place. Shards are disjoint, and each is shuffled locally.
+a block finds its leaf by a walk from the root. Shards are disjoint, and each is shuffled locally: its copies stand in the
+order of a hash of their own, whatever blocks they came in, and a copy's slot is its place in that order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +29,24 @@ def word_count(text: Column) -> Column:
 
 
 def leaf(place: Column, blocks: int, shards: int) -> Column:
-    """The shard of the block at a place of the random order of all blocks.
+    """The shard of the block at a place of the random order of all blocks, by a walk down the tree.
 
-    A node of n shards and b blocks gives its left half, n // 2 shards, the first b // n * (n // 2) blocks and one more for
-    each of the b % n shards that get one more. Leaves then hold b // n blocks or one more, the first of them more.
+    A node has n shards, from `shard` on, and a stretch of b blocks, from `first` on. Its left half, n // 2 shards, draws the
+    first b // n * (n // 2) blocks and one more for each of the b % n shards that get one more. Leaves then hold
+    blocks // shards blocks or one more.
     """
-    base, more = divmod(blocks, shards)
-    long = more * (base + 1)
-    rest = F.call_function("div", place - long, F.lit(max(1, base)).cast("long")) + more
-    return F.when(place < long, F.call_function("div", place, F.lit(base + 1).cast("long"))).otherwise(rest).cast("int")
+    root = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in (("first", 0), ("b", blocks), ("shard", 0), ("n", shards))])
+    levels = F.sequence(F.lit(1), F.lit(max(1, (shards - 1).bit_length())))
+
+    def child(node: Column, _: Column) -> Column:
+        first, b, shard, n = (node[k] for k in ("first", "b", "shard", "n"))
+        half = F.call_function("div", n, F.lit(2).cast("long"))
+        drawn = F.call_function("div", b, n) * half + F.least(b % n, half)
+        left = place < first + drawn  # a leaf's left half is empty, so it is its own right child
+        parts = (first, first + drawn), (drawn, b - drawn), (shard, shard + half), (half, n - half)
+        return F.struct(*[F.when(left, x).otherwise(y).alias(k) for k, (x, y) in zip(("first", "b", "shard", "n"), parts)])
+
+    return F.aggregate(levels, root, child)["shard"].cast("int")
 
 
 def split_quotas(blocks: DataFrame, shards: int, seed: int, ties: list[str]) -> DataFrame:
@@ -100,9 +112,10 @@ def _within(rows: DataFrame, at: DataFrame, size: int) -> DataFrame:
     return rows.join(small(at, size=size), _same(rows["source"], F.col("name")) & F.col("digest").startswith(F.col("prefix")))
 
 
-def mix(df: DataFrame, source: Column, size: Column, digest: Column, *, light: DataFrame | None = None, shards: int = 8, seed: int = 9, names: tuple[str, ...] = ("size", "source_size", "target", "taken", "shards")) -> DataFrame:
+def mix(df: DataFrame, source: Column, size: Column, digest: Column, *, light: DataFrame | None = None, shards: int = 8, seed: int = 9, names: tuple[str, ...] = ("size", "source_size", "target", "taken", "shards"), slots: str | None = None, local_seed: int = 1) -> DataFrame:
     """df with five more columns: size, source_size, target, taken (words) and shards (array<int>: of each copy taken, where it
-    goes).
+    goes). With `slots`, each shard is shuffled locally, too, and a sixth column of that name (array<long>) says at which place
+    of its shard's order each copy stands, gapless from 0 in each shard.
 
     taken is 0, 1 or 2 times the row's size (more only if targets are set higher). Null sources are a source of their own.
     Rows of size 0 count as any. The same rows in any order or partitioning get the same draws, up to rows equal in digest,
@@ -112,8 +125,13 @@ def mix(df: DataFrame, source: Column, size: Column, digest: Column, *, light: D
 
     Rows themselves are not moved: sums of blocks and, of the one block of each source in which its target ends, the order
     of digests say of any row by itself whether and where it goes. These tables have a row for each block, 4,096
-    at most for each source; they are broadcast only if their measured size allows.
+    at most for each source; they are broadcast only if their measured size allows. The local shuffle does move and write the rows: for
+    wide ones mix a light table with slots, or take what mixed_documents() does.
     """
+    if slots is not None:
+        key = bare(df, {*names, slots}, "__order")
+        rows = mix(df.withColumn(key, digest), source, size, digest, light=light, shards=shards, seed=seed, names=names)
+        return shuffled(rows, rows.columns[-1], key, seed=local_seed, name=slots).drop(key)
     names = free(df, names)
     src, n, key, block, times = (bare(df, set(names), p) for p in ("__source", "__size", "__digest", "__block", "__times"))
     rows = df.withColumn(src, source).withColumn(n, size).withColumn(key, digest).withColumn(block, F.substring(key, 1, DIGITS))
@@ -155,6 +173,46 @@ def _drawn(rows: DataFrame, columns: list[str], n: str, p: Column, times: Column
     return rows.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(name) for c, name in zip(out, names)])
 
 
+#: Bits of a copy's order by which a shard is cut into buckets, at first and at most.
+ORDER_BITS, MOST_BITS = 10, 40
+
+
+def local_order(digest: Column, copy: Column, seed: int) -> Column:
+    """What the copies of a shard are sorted by, 62 bits, copies of one row each for themselves."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), digest, copy.cast("int")), 2)
+
+
+def shuffled(rows: DataFrame, shards: str, digest: str, *, seed: int = 1, name: str = "slots") -> DataFrame:
+    """rows with one more column (array<long>): of each entry of the column `shards`, a copy, the place in its shard's shuffled
+    order, which the column `digest` and the copy's number decide. Places are gapless from 0 in each shard; a row without copies has an empty array.
+
+    A shard's copies are brought together in buckets of their order, whose number grows with the rows; the counts of the
+    buckets give each one's first place, so no task orders more than one bucket. Copies equal in digest and number are
+    interchangeable and lie in one bucket, side by side.
+    """
+    (name,) = free(rows, (name,))
+    row, nth, out, order, bucket, begin = (bare(rows, {name}, p) for p in ("__row", "__nth", "__out", "__at", "__bucket", "__begin"))
+    key, each = F.col(f"`{digest}`"), F.col(f"`{shards}`")
+    copies = rows.withColumn(row, F.monotonically_increasing_id()).select("*", F.posexplode_outer(each).alias(nth, out)).drop(shards)
+    copies, bits = staged(copies.withColumn(order, local_order(key, F.col(nth), seed)), "copies"), ORDER_BITS
+    while True:
+        cut = copies.withColumn(bucket, F.shiftrightunsigned(order, 62 - bits))
+        counts, has = measured(cut.filter(F.col(out).isNotNull()).groupBy(out, bucket).agg(F.count(F.lit(1)).alias("n")), "copy-buckets", most=F.avg("n"))
+        most = has["most"] or 0
+        if most <= MOST_ROWS or bits >= MOST_BITS:
+            break
+        bits = min(MOST_BITS, bits + math.ceil(math.log2(most / MOST_ROWS)))
+    upto = F.sum("n").over(Window.partitionBy(out).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    first, has = measured(counts.select(F.col(out).alias(out + "p"), F.col(bucket).alias(bucket + "p"), upto.alias(begin)), "copy-starts")
+    own = Window.partitionBy(out, bucket).orderBy(order, key, nth)
+    at = cut.withColumn(order, F.row_number().over(own) - 1)
+    at = at.join(small(first, size=has["bytes"]), (F.col(out) == F.col(out + "p")) & (F.col(bucket) == F.col(bucket + "p")), "left")
+    copy = F.when(F.col(out).isNotNull(), F.struct(F.col(nth).alias("nth"), F.col(out).alias("shard"), (F.col(begin) + F.col(order)).alias("slot")))
+    by_row = at.groupBy(row).agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in copies.columns if c in rows.columns], F.array_sort(F.collect_list(copy)).alias(nth))
+    where = F.transform(nth, lambda x: x["shard"])
+    return by_row.select(*[where.alias(c) if c == shards else F.col(f"`{c}`") for c in rows.columns], F.transform(nth, lambda x: x["slot"]).alias(name))
+
+
 def _digest() -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-"))).cast("binary"))
 
@@ -164,25 +222,25 @@ def _sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and shards of each document."""
-    mixed = mix(_sizes(docs), F.col("source"), F.col("words"), F.col("digest"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    """doc_id, size, source_size, target, taken, shards and slots of each document."""
+    mixed = mix(_sizes(docs), F.col("source"), F.col("words"), F.col("digest"), slots="slots")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards", "slots")
 
 
 def mixed_documents(docs: DataFrame, *, shards: int = 8, local_seed: int = 1, slice_words: int = 4_000_000) -> DataFrame:
     """The documents that the mix takes, repeats included, with the columns of docs alone. The rows of a shard are brought
-    together in a shuffled order: by slices of a hash, of about slice_words words, and sorted by the hash within a slice."""
+    together in its shuffled order, that of the slots: by slices of it, of about slice_words words, and sorted within a slice."""
     sizes = _sizes(docs)
     words = sizes.agg(F.sum("words")).first()[0] or 0
     slices = max(1, -(-3 * words // 2 // (shards * slice_words)))
     names = free(docs, ("__size", "__source_size", "__target", "__taken", "__shards"))
     light = sizes.select("source", F.col("words").alias("size"), "digest")
     rows = mix(docs, F.col("source"), word_count(F.col("text")), _digest(), light=light, shards=shards, names=names)
-    nth, out, order, part = (bare(docs, set(), p) for p in ("__nth", "__out", "__order", "__part"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode(names[4]).alias(nth, out))
-    rows = rows.withColumn(order, F.shiftrightunsigned(F.xxhash64(F.lit(local_seed), F.col("doc_id"), F.col("text"), F.col(nth)), 2))
+    nth, out, order, part, key = (bare(rows, set(), p) for p in ("__nth", "__out", "__order", "__part", "__key"))
+    rows = rows.withColumn(key, _digest()).select(*[F.col(f"`{c}`") for c in docs.columns], key, F.posexplode(names[4]).alias(nth, out))
+    rows = rows.withColumn(order, local_order(F.col(key), F.col(nth), local_seed))
     rows = rows.withColumn(part, F.call_function("div", F.col(order), F.lit(-(-(1 << 62) // slices)).cast("long")))
-    return rows.repartition(out, part).sortWithinPartitions(out, order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.repartition(out, part).sortWithinPartitions(out, order, key, nth).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

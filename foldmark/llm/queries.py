@@ -50,7 +50,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_documents(table(spark, sf_dir, "documents"))
-    return rows.withColumn("shards", F.array_join(F.transform("shards", lambda x: x.cast("string")), ","))
+    return rows.withColumn("shards", F.array_join(F.transform("shards", lambda x: x.cast("string")), ",")).drop("slots")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

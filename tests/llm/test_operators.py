@@ -622,6 +622,48 @@ def test_mixing_of_repeated_rows(spark):
     assert clash.columns[-6:] == ["taken", "size", "source_size", "target", "taken_", "shards"] and {r.taken for r in clash.collect()} == {"kept"}
 
 
+def test_mixing_shuffles_each_shard(spark, docs, real, monkeypatch):
+    def placed(rows):
+        by_shard = {}
+        for g in rows:
+            assert len(g.shards) == len(g.slots)
+            for copy, (shard, slot) in enumerate(zip(g.shards, g.slots)):
+                by_shard.setdefault(shard, {})[slot] = (g.doc_id, copy)
+        assert all(sorted(p) == list(range(len(p))) for p in by_shard.values()) and sum(map(len, by_shard.values())) == sum(len(g.shards) for g in rows)
+        return {shard: [p[i] for i in range(len(p))] for shard, p in by_shard.items()}
+
+    shards = placed(mixing.mix_documents(real).collect())
+    key = real.select("doc_id", mixing._digest().alias("d"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    order = {(r.doc_id, r.copy): r.o for r in key.select("doc_id", "copy", mixing.local_order(F.col("d"), F.col("copy"), 1).alias("o")).collect()}
+    assert all(p == sorted(p, key=order.get) != sorted(p) for p in shards.values())
+    assert placed(mixing.mix_documents(real.repartition(7)).collect()) == shards
+    # the mixed documents stand in this order, one shard after another
+    rows = [r.doc_id for r in mixing.mixed_documents(real, slice_words=10**9).collect()]
+    left = {shard: [i for i, _ in p] for shard, p in shards.items()}
+    while rows:
+        shard = next(k for k, p in left.items() if rows[: len(p)] == p)
+        rows = rows[len(left.pop(shard)) :]
+    assert not left
+    # buckets that hold too much are cut finer; rows that are equal count each for themselves
+    monkeypatch.setattr(mixing, "MOST_ROWS", 2)
+    monkeypatch.setattr(mixing, "ORDER_BITS", 1)
+    assert placed(mixing.mix_documents(real).collect()) == shards
+    repeated = spark.createDataFrame([(1, "a b c d", "x")] * 50 + [(2, None, None), (None, "e", "y")], "doc_id long, text string, source string")
+    for df in (docs, repeated, docs.limit(0)):
+        placed(mixing.mix_documents(df).collect())
+    clash = mixing.mix(repeated.withColumn("Slots", F.lit("kept")), F.col("source"), F.lit(1), mixing._digest(), slots="slots")
+    assert clash.columns == ["doc_id", "text", "source", "Slots", "size", "source_size", "target", "taken", "shards", "slots_"] and {r.Slots for r in clash.collect()} == {"kept"}
+    # the query runs this step, too
+    assert "row_number" in queries.op9_mixing(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_splitting_tree_of_many_shards(spark):
+    for blocks, shards in ((10, 1), (12_345, 1000), (700, 1000)):
+        got = [r.s for r in spark.range(blocks).select(mixing.leaf(F.col("id"), blocks, shards).alias("s")).collect()]
+        counts = [got.count(s) for s in range(shards)]
+        assert sum(counts) == blocks and max(counts) - min(counts) <= 1 and got == sorted(got)
+
+
 @pytest.mark.parametrize("ratio", [0.1, 0.3, 0.5, 0.9])
 def test_line_dedup_against_brute_force(spark, ratio):
     r = random.Random(6)
