@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,30 @@ def _bytes(df: DataFrame) -> Column:
     return sum(F.coalesce(x, F.lit(0)) for x in sizes)
 
 
+def lean(run: Callable) -> Callable:
+    """run, a function for mapInArrow, after each task of which its Python worker gives freed memory back. Idle workers stay
+    for a minute, so what they hold would count in the stages that follow."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: Arrow's pool and, where the C library can, its heap."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
+
+
 def bare(df: DataFrame, taken: set[str], prefix: str = "__") -> str:
     """A column name that neither df nor taken has, compared without case."""
     have = {c.lower() for c in df.columns} | {c.lower() for c in taken}

@@ -229,7 +229,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, *, shards: int = 8, local_seed: int = 1, slice_words: int = 4_000_000) -> DataFrame:
     """The documents that the mix takes, repeats included, with the columns of docs alone. The rows of a shard are brought
-    together in its shuffled order, that of the slots: by slices of it, of about slice_words words, and sorted within a slice."""
+    together in its shuffled order, that of the slots: by slices of it, of about slice_words words, and sorted within a slice.
+    Each slice is a partition of its own, so no task holds more than one."""
     sizes = _sizes(docs)
     words = sizes.agg(F.sum("words")).first()[0] or 0
     slices = max(1, -(-3 * words // 2 // (shards * slice_words)))
@@ -239,8 +240,9 @@ def mixed_documents(docs: DataFrame, *, shards: int = 8, local_seed: int = 1, sl
     nth, out, order, part, key = (bare(rows, set(), p) for p in ("__nth", "__out", "__order", "__part", "__key"))
     rows = rows.withColumn(key, _digest()).select(*[F.col(f"`{c}`") for c in docs.columns], key, F.posexplode(names[4]).alias(nth, out))
     rows = rows.withColumn(order, local_order(F.col(key), F.col(nth), local_seed))
-    rows = rows.withColumn(part, F.call_function("div", F.col(order), F.lit(-(-(1 << 62) // slices)).cast("long")))
-    return rows.repartition(out, part).sortWithinPartitions(out, order, key, nth).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = F.call_function("div", F.col(order), F.lit(-(-(1 << 62) // slices)).cast("long"))
+    rows = rows.withColumn(part, (F.col(out) * slices + at).cast("int"))
+    return rows.repartitionById(shards * slices, F.col(part)).sortWithinPartitions(order, key, nth).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldmark.llm._graph import connected
-from foldmark.llm._shared import bare, small, staged
+from foldmark.llm._shared import bare, lean, small, staged
 from foldmark.llm._words import mixed, word_hashes
 
 K, SAMPLE, BANDS = 5, 2, 32
@@ -194,7 +194,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64()))
             yield pa.RecordBatch.from_arrays([b["id"], b["digest"], pa.array(n, pa.int32()), lists, pa.array(bins, pa.binary())], ["id", "digest", "n", "buckets", "bins"])
 
-    rows = _identified(docs, id_col, text_col).mapInArrow(run, "id long, digest string, n int, buckets array<long>, bins binary")
+    rows = _identified(docs, id_col, text_col).mapInArrow(lean(run), "id long, digest string, n int, buckets array<long>, bins binary")
     return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -217,7 +217,7 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, threshold: flo
             seqs = [h.tobytes() for h in ((h >> np.uint64(32)).astype(np.uint32) for h in word_hashes(b["text"].to_pylist()))]
             yield pa.RecordBatch.from_arrays([b["rid"], pa.array(seqs, pa.binary())], ["rid", "words"])
 
-    words = staged(texts.mapInArrow(sequences, "rid long, words binary"), "sequences")
+    words = staged(texts.mapInArrow(lean(sequences), "rid long, words binary"), "sequences")
     if words.count() > needed.count():  # rows that repeat whole
         words = staged(words.groupBy("rid").agg(F.first("words").alias("words")), "sequences")
 
@@ -231,7 +231,7 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, threshold: flo
             yield pa.RecordBatch.from_arrays([b["x"], b["y"]], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     rows = pairs.join(words.select(F.col("rid").alias("y"), F.col("words").alias("q")), "y").join(words.select(F.col("rid").alias("x"), F.col("words").alias("p")), "x")
-    return rows.select("x", "y", "p", "q").mapInArrow(align, "x long, y long")
+    return rows.select("x", "y", "p", "q").mapInArrow(lean(align), "x long, y long")
 
 
 def _across(unit: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +314,7 @@ def _remaining(rows: DataFrame, bands: DataFrame, label: DataFrame, threshold: f
         if held is not None:
             yield from pairs(held)
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "x long, y long")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(compare), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

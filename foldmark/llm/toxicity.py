@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmark.llm._shared import bare, staged
+from foldmark.llm._shared import bare, lean, staged
 from foldmark.llm._words import mixed, word_hashes
 
 BITS = 22
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
             out = [np.unique(places(h)).astype("<u4").tobytes() for h in word_hashes(b["text"].to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": b["y"], "f": pa.array(out, pa.binary())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").mapInArrow(features, "doc_id long, y int, f binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").mapInArrow(lean(features), "doc_id long, y int, f binary")
 
     def learn(batches):
         y, ids, data = [], [], []
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
             place, weight, bias = fit_ftrl([data[i] for i in order], np.array(y)[order])
         yield pa.RecordBatch.from_pydict({"place": pa.array([place.tolist()], pa.list_(pa.int32())), "weight": pa.array([weight.tolist()], pa.list_(pa.float64())), "bias": pa.array([bias], pa.float64()), "classes": pa.array([len(set(y))], pa.int32())})
 
-    got = staged(rows, "features").coalesce(1).mapInArrow(learn, "place array<int>, weight array<double>, bias double, classes int").first()
+    got = staged(rows, "features").coalesce(1).mapInArrow(lean(learn), "place array<int>, weight array<double>, bias double, classes int").first()
     if got is None:
         return np.zeros(0, np.uint32), np.zeros(0), math.log(1e-3)
     place, weight, bias = np.array(got["place"], np.uint32), np.array(got["weight"], float), got["bias"]
@@ -153,7 +153,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: st
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return given.mapInArrow(score, StructType([*fields, StructField(out, DoubleType())]))
+    return given.mapInArrow(lean(score), StructType([*fields, StructField(out, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,3 +1,4 @@
+import ctypes
 import hashlib
 import math
 import random
@@ -657,6 +658,58 @@ def test_mixing_shuffles_each_shard(spark, docs, real, monkeypatch):
     assert "row_number" in queries.op9_mixing(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_each_slice_of_mixed_documents_is_a_partition(spark, real):
+    words = mixing.word_count(F.col("text"))
+    slices = math.ceil(1.5 * real.agg(F.sum(words)).first()[0] / (8 * 5000))
+    rows = mixing.mixed_documents(real, slice_words=5000)
+    held = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(words).alias("words")).collect()
+    assert slices > 1 and len(held) == 8 * slices and max(h.words for h in held) < 2 * 5000
+    # whatever the slices, one order
+    whole = mixing.mixed_documents(real, slice_words=10**9)
+    assert [r.doc_id for r in rows.collect()] == [r.doc_id for r in whole.collect()]
+
+
+def test_python_workers_give_memory_back(spark, real, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    ran, given = [], []
+    through = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: ran.append(f) or through(self, f, *a, **k))
+    toxicity.without_toxic(real, spark.read.parquet(f"{SF}/labels.parquet")).count()
+    near_dup.without_near_duplicates(real).count()
+    monkeypatch.setattr(_shared, "give_back", lambda: given.append(1))
+    for f in ran:
+        list(f(iter(())))
+    assert len(given) == len(ran) >= 7
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="only glibc gives its heap back on request")
+def test_memory_given_back():
+    import subprocess
+    import sys
+
+    code = """
+import re
+from foldmark.llm._shared import lean
+held = []
+mb = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    some = [b"x" * (50_000 + i) for i in range(4000)]
+    held.append(b"x" * 50_000)  # above them on the heap, which so does not shrink by itself
+    del some
+    held.append(mb())
+    yield from batches
+
+before = mb()
+assert list(lean(run)(iter([7]))) == [7]
+print(before, held[-1], mb())
+"""
+    root = _shared.__file__.rsplit("/foldmark/", 1)[0]
+    before, within, after = map(float, subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split())
+    assert within > before + 150 and after < before + 50
+
+
 def test_splitting_tree_of_many_shards(spark):
     for blocks, shards in ((10, 1), (12_345, 1000), (700, 1000)):
         got = [r.s for r in spark.range(blocks).select(mixing.leaf(F.col("id"), blocks, shards).alias("s")).collect()]
