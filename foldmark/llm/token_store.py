@@ -16,26 +16,31 @@ what the percentile of the block's values needs; what does not fit is an excepti
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import string
 import struct
+import sys
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmark.llm._shared import staged
+from foldmark.llm._shared import lean, staged
 
 MAGIC = b"PFB1"
 BLOCK, ROWS, LANES = 128, 32, 4
 #: Ids after which a segment ends with the document at hand.
 SEGMENT_IDS = 1 << 18
-#: Words of which a worker remembers the ids; past this it forgets all and goes on.
-MEMO_WORDS = 1_500_000
+#: Bytes that a worker remembers chunks and their ids in; past this it forgets all but those that came most often and goes on.
+MEMO_BYTES = 96 << 20
+#: UTF-8 bytes of texts after which they are encoded together with the text at hand.
+BATCH_BYTES = 4 << 20
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -124,6 +129,10 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 _PLAIN = re.compile(rf"([^\W\d_]+)([{re.escape(string.punctuation)}]*)")
 
 
+#: Stands for the end of a text among chunks, none of which is white space.
+END = " "
+
+
 class _Memo(dict):
     """Numbers keys in the order in which they are first looked up."""
 
@@ -132,6 +141,18 @@ class _Memo(dict):
         return n
 
 
+class _Pieces(dict):
+    """What the model makes of a piece: its ids as u32 numbers side by side, as a list of them takes several times as much memory."""
+
+    def __init__(self, tokenizer, known=()):
+        super().__init__(known)
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+        return ids
+
+
 class _Letters(dict):
     """For str.translate: what the tokenizer makes of a letter inside a word. A NUL marks what it does not keep in the word."""
 
@@ -158,7 +179,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_str(spec), end_id
-        self.marks = [x.content.lower()[:2] for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {x.content.lower()[:2] for x in self.tokenizer.get_added_tokens_decoder().values()}
         self.apart = bool(self.tokenizer.pre_tokenizer and self.tokenizer.normalizer) and self._probes()
         self.forget()
 
@@ -171,37 +192,61 @@ class Encoder:
         return cuts and stops and plain
 
     def forget(self) -> None:
-        self.memo, self.pieces = _Memo(), {}
         self.letters = _Letters(self.tokenizer)
-        self.flat, self.begin, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self._keep([END], np.array([self.end_id], np.uint32), np.ones(1, np.int64), np.ones(1, np.int32), {})
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, n: np.ndarray, uses: np.ndarray, pieces: dict[str, bytes]) -> None:
+        self.memo, self.pieces, self.known = _Memo(zip(chunks, range(len(chunks)))), _Pieces(self.tokenizer, pieces), len(chunks)
+        self.flat, self.begin, self.uses = ids, np.concatenate([[0], np.cumsum(n)]), uses
+        self.strings = sum(map(sys.getsizeof, itertools.chain(chunks, pieces, pieces.values()))) + 32 * len(chunks)
+
+    def thin(self) -> None:
+        """Forget the chunks that came in one call of encode() only, and others until a quarter is left."""
+        uses = self.uses[: self.known]
+        at = np.argsort(-uses[1:], kind="stable")[: self.known // 4] + 1
+        stay = np.zeros(self.known, bool)
+        stay[0] = stay[at[uses[at] > 1]] = True
+        chunks, n = list(itertools.compress(self.memo, stay)), np.diff(self.begin[: self.known + 1])
+        ids = self.flat[: self.begin[self.known]][np.repeat(stay, n)]
+        self._keep(chunks, ids, n[stay], -(-uses[stay] // 2), {c: self.pieces[c] for c in chunks if c in self.pieces})
+        if self.remembered() > MEMO_BYTES // 2:  # long ones
+            self.forget()
+
+    def remembered(self) -> int:
+        """Bytes of what is kept about chunks: the tables, and the strings, numbers and ids in them."""
+        return sum(map(sys.getsizeof, (self.memo, self.pieces))) + self.flat.nbytes + self.begin.nbytes + self.uses.nbytes + self.strings
 
-    def _put(self, every: list[list[int]]) -> None:
-        n = np.fromiter(map(len, every), np.int64, len(every))
+    def _put(self, chunks: list[str]) -> None:
+        before = len(self.pieces)
+        every = self._ids(chunks)
+        n = np.fromiter(map(len, every), np.int64, len(every)) // 4
         at, new = self.begin[self.known], int(n.sum())
         while len(self.flat) < at + new:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.begin) < self.known + len(every) + 1:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[at : at + new] = np.fromiter(itertools.chain.from_iterable(every), np.uint32, new)
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.begin) - len(self.uses), np.int32)])
+        self.flat[at : at + new] = np.frombuffer(b"".join(every), np.uint32)
         self.begin[self.known + 1 : self.known + 1 + len(every)] = at + np.cumsum(n)
         self.known += len(every)
+        for strings in (chunks, *[itertools.islice(x, before, None) for x in (self.pieces, self.pieces.values())]):
+            self.strings += sum(map(sys.getsizeof, strings))
+        self.strings += 32 * len(chunks)
 
-    def _piece(self, piece: str) -> list[int]:
-        if (ids := self.pieces.get(piece)) is None:
-            self.pieces[piece] = ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
-        return ids
-
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
+    def _ids(self, chunks: list[str]) -> list[bytes]:
         """Of new chunks, which are in lower case as far as ASCII goes."""
-        out: list[list[int]] = [[]] * len(chunks)
+        out, ids_of = [b""] * len(chunks), self.pieces
         rest, texts = [], []
         for i, chunk in enumerate(chunks):
+            if chunk.isascii() and chunk.isalpha():
+                out[i] = ids_of[chunk]
+                continue
             if (plain := _PLAIN.fullmatch(chunk)) and unicodedata.is_normalized("NFC", chunk):
                 word, end = plain.groups()
                 if not word.isascii():
                     word = word.translate(self.letters)
                 if "\0" not in word:
-                    out[i] = self._piece(word) + self._piece(end) if end else self._piece(word)
+                    out[i] = ids_of[word] + ids_of[end] if end else ids_of[word]
                     continue
             if chunk:
                 rest.append(i)
@@ -211,60 +256,70 @@ class Encoder:
             text = self.tokenizer.normalizer.normalize_str(" ".join(some))
             stop = np.cumsum([len(x) + 1 for x in text.split(" ")])
             if len(stop) != len(some) or any(x.isspace() and x != " " for x in set(text)):
-                own = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in some]
+                own = [array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in some]
             else:
-                own = [[] for _ in some]
+                parts: list[list[bytes]] = [[] for _ in some]
                 cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
                 for k, (piece, _) in zip(np.searchsorted(stop, [x[1][0] for x in cut], "right").tolist(), cut):
-                    own[k] += self._piece(piece)
+                    parts[k].append(ids_of[piece])
+                own = map(b"".join, parts)
             for i, ids in zip(rest[at : at + 256], own):
                 out[i] = ids
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, null being empty, with the end id after each, and how many each text has."""
+    def _chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct chunks, the place of each chunk of the texts among them, and how many each text has."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if not self.apart or any(m in t.lower() for t in texts if t for m in self.marks):
-            own = [[*x.ids, self.end_id] for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-            return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
-        if len(self.memo) > MEMO_WORDS or len(self.pieces) > MEMO_WORDS:
-            self.forget()
         rows = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.string())
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(rows))  # white space at an end leaves an empty chunk, of no ids
-        counts = np.diff(chunks.offsets.to_numpy()).astype(np.int64)
         distinct = chunks.flatten().dictionary_encode()
-        keys = distinct.dictionary.to_numpy(zero_copy_only=False)
-        which = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
-        which = which[distinct.indices.to_numpy()]
+        return distinct.dictionary.to_numpy(zero_copy_only=False), distinct.indices.to_numpy(), np.diff(chunks.offsets.to_numpy())
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, null being empty, with the end id after each, and how many each text has."""
+        if not self.apart or any(m in t.lower() for t in texts if t for m in self.marks):
+            own = [[*x.ids, self.end_id] for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
+        keys, place, counts = self._chunks(texts)
+        own = np.fromiter(map(self.memo.__getitem__, keys), np.int32, len(keys))
+        del keys
         if len(self.memo) > self.known:
-            self._put(self._ids(list(itertools.islice(self.memo, self.known, None))))
+            self._put(list(itertools.islice(self.memo, self.known, None)))
+        self.uses[own] += 1
+        counts = counts.astype(np.int64)
+        which = np.insert(own[place], np.cumsum(counts), 0)  # the end id after each text
+        del place
         size = np.diff(self.begin[: self.known + 1])[which]
-        done = np.concatenate([[0], np.cumsum(size)])
-        doc_end = np.cumsum(counts)
-        lengths = done[doc_end] - done[doc_end - counts] + 1
-        source = np.repeat(self.begin[which] - done[:-1], size) + np.arange(done[-1])
-        out = np.full(lengths.sum(), self.end_id, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(lengths) - 1] = False
-        out[keep] = self.flat[source]
+        done, doc_end = np.concatenate([[0], np.cumsum(size)]), np.cumsum(counts + 1)
+        lengths = done[doc_end] - done[doc_end - counts - 1]
+        kind = np.int32 if max(done[-1], len(self.flat)) < 1 << 31 else np.int64
+        source = np.repeat((self.begin[which] - done[:-1]).astype(kind), size)
+        source += np.arange(done[-1], dtype=kind)
+        out = self.flat[source]
+        if self.remembered() > MEMO_BYTES:
+            self.thin()
         return out, lengths
 
 
-_encoders: dict[tuple[int, int], Encoder] = {}
+@functools.lru_cache(maxsize=1)
+def encoder(spec: str, end_id: int) -> Encoder:
+    """The process's own encoder, for one task after another. A task must get it from this function, which is pickled by name: a
+    table that the task's function names would be pickled with it, and each task would start with an encoder of its own."""
+    return Encoder(spec, end_id)
+
 
+def _batches(names, texts):
+    """Ids and texts, of which about BATCH_BYTES become Python objects at a time. names, texts: Arrow arrays of one batch."""
+    import pyarrow.compute as pc
 
-def _batches(texts, size: int = 4 << 20):
-    """Index ranges of about size characters."""
     at = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= size:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        total += n or 0
+        if total >= BATCH_BYTES or i == len(texts):
+            yield names[at:i].to_pylist(), texts[at:i].to_pylist()
+            at, total = i, 0
 
 
 def write_segments(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, percentile: float = 90.0) -> DataFrame:
@@ -282,8 +337,7 @@ def write_segments(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def write(batches):
-        key = (spec.value.__hash__(), end_id)
-        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(spec.value, end_id))
+        encode = encoder(spec.value, end_id).encode
         part, segment, before = TaskContext.get().partitionId(), 0, 0
         own, ids, lengths, size = [], [], [], 0
 
@@ -299,11 +353,10 @@ def write_segments(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             own, ids, lengths, size = [], [], [], 0
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _batches(texts):
-                flat, n = encoder.encode(texts[a:b])
+            for names, texts in _batches(batch.column(0), batch.column(1)):
+                flat, n = encode(texts)
                 at = 0
-                for name, k in zip(names[a:b], n.tolist()):
+                for name, k in zip(names, n.tolist()):
                     own.append(name)
                     ids.append(flat[at : at + k])
                     lengths.append(k)
@@ -314,7 +367,7 @@ def write_segments(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    return staged(rows.mapInArrow(write, "part int, segment int, before long, n_ids long, ids array<long>, payload binary"), "segments")
+    return staged(rows.mapInArrow(lean(write), "part int, segment int, before long, n_ids long, ids array<long>, payload binary"), "segments")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
@@ -338,4 +391,4 @@ def read_segments(segments: DataFrame) -> DataFrame:
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("total"))
     parts = parts.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
     rows = segments.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("begin"), "ids", "payload")
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

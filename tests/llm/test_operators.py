@@ -710,6 +710,80 @@ print(before, held[-1], mb())
     assert within > before + 150 and after < before + 50
 
 
+def test_what_the_encoder_remembers_is_bounded():
+    import subprocess
+    import sys
+
+    code = """
+import itertools, re, string
+from foldmark.llm import queries, token_store
+from foldmark.llm._shared import give_back
+mb = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+encoder = token_store.Encoder(open(queries.vocabulary(), encoding="utf-8").read(), 1)
+encoder.encode(["a"])
+give_back()
+before, total = mb(), 0
+words = map("".join, itertools.product(string.ascii_lowercase, repeat=5))
+for _ in range(60):
+    total += len(encoder.encode([" ".join(itertools.islice(words, 10_000))])[0])
+give_back()
+print(before, mb(), total)
+"""
+    root = _shared.__file__.rsplit("/foldmark/", 1)[0]
+    before, after, total = map(float, subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split())
+    assert total > 600_000 and after < before + 160
+
+
+def test_token_ids_after_forgetting(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "MEMO_BYTES", 60_000)
+    tok = Tokenizer.from_file(queries.vocabulary())
+    encoder, r, thinned = token_store.Encoder(tok.to_str(), 1), random.Random(5), 0
+    often = ["the", "été", "it's", "naïve,", "日本語", "x2", "...", "end."]
+    for k in range(120):
+        texts = [" ".join(r.choice(often) if r.random() < 0.5 else "".join(r.choices("abcdéß'.", k=7)) for _ in range(r.randint(0, 40))) for _ in range(6)] + [None, "", " a "]
+        if k % 40 == 39:
+            texts.append("".join(r.choices("abcdefgh", k=30_000)))  # too long to be kept
+        known = encoder.known
+        ids, lengths = encoder.encode(texts)
+        thinned += encoder.known < known
+        want = [[*x.ids, 1] for x in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+        assert encoder.remembered() <= 60_000
+    assert thinned > 3 and set(often) <= set(encoder.memo)
+
+
+def test_token_workers_give_memory_back(spark, real, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    ran, given = [], []
+    through = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: ran.append(f) or through(self, f, *a, **k))
+    token_store.read_segments(token_store.write_segments(real, queries.vocabulary())).count()
+    monkeypatch.setattr(_shared, "give_back", lambda: given.append(1))
+    list(ran[-1](iter(())))  # reads; what writes needs a task
+    assert len(ran) == 2 and len(given) == 1
+
+
+def test_one_encoder_serves_a_worker(spark, real):
+    def told(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            seen = token_store.encoder.cache_info()
+            yield pa.RecordBatch.from_pydict({"hits": [seen.hits], "built": [seen.misses]})
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(4):
+            token_store.write_segments(real, queries.vocabulary()).count()
+        seen = spark.range(0, 8, 1, 8).mapInArrow(told, "hits long, built long").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seen) == 8 and max(s.hits for s in seen) > 0 and all(s.built <= 1 for s in seen)
+
+
 def test_splitting_tree_of_many_shards(spark):
     for blocks, shards in ((10, 1), (12_345, 1000), (700, 1000)):
         got = [r.s for r in spark.range(blocks).select(mixing.leaf(F.col("id"), blocks, shards).alias("s")).collect()]
