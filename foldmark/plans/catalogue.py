@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foldmark.functions.bytes import fnv1a_hex, record_crc
 from foldmark.model import DELETE, ECHO, GET, MUTATION, PUT, mutations
 from foldmark.operators import runs, skipping, state
-from foldmark.sources import frames, wal
+from foldmark.sources import frames, pieces, wal
 from foldmark.sources.scratch import shared_path
 from foldmark.sources.table import KVTable
 from foldmark.streaming import ingest
@@ -233,9 +233,9 @@ def requests(spark, d):
 
 
 def connections(spark, d):
-    """(path, content) of the connections' bytes."""
+    """(path, part, content) of the connections' bytes."""
     r = requests(spark, d)
-    return wal.joined(r.select("seq", "path", frames.frame_bytes(F.col("op"), F.col("key"), F.col("val")).alias("record")), "path")
+    return pieces.joined(r.select("seq", "path", frames.frame_bytes(F.col("op"), F.col("key"), F.col("val")).alias("record")), "path")
 
 
 @query("SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS place, op, k, v FROM req", _REQ)

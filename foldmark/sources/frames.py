@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from foldmark.functions.bytes import big_endian, from_big_endian
 from foldmark.model import ECHO, FRAME_HEADER, FRAME_MAGIC, GET, MAX_FRAME
 from foldmark.operators.state import replay
+from foldmark.sources import pieces
+from foldmark.sources.pieces import Feed
 
 ACK = bytes([FRAME_MAGIC, 0, 0, 0, 0, 0, 0, 0])
 NOT_FOUND = bytes([FRAME_MAGIC, 0, 0xFF, 0xFF, 0, 0, 0, 0])
@@ -39,15 +42,21 @@ def encode_frame(op: int, key: bytes = b"", val: bytes = b"") -> bytes:
 
 def frames(data: bytes) -> list[tuple[int, bytes, bytes]]:
     """The requests of one connection's bytes, up to a bad magic, an oversized or an incomplete frame, where it closes."""
-    at, out = 0, []
-    while len(data) - at >= FRAME_HEADER and data[at] == FRAME_MAGIC:
-        op, klen, vlen = parse_header(data[at : at + FRAME_HEADER])
-        end = at + FRAME_HEADER + klen + vlen
-        if klen + vlen > MAX_FRAME or end > len(data):
-            break
-        out.append((op, data[at + FRAME_HEADER : at + FRAME_HEADER + klen], data[at + FRAME_HEADER + klen : end]))
-        at = end
-    return out
+    return list(read(Feed([data], len(data))))
+
+
+def read(feed: Feed) -> Iterator[tuple[int, bytes, bytes]]:
+    """As frames(), one after the other."""
+    while feed.left >= FRAME_HEADER:
+        data, at = feed.peek(FRAME_HEADER)
+        magic, op, klen, vlen = struct.unpack_from(">BBHI", data, at)
+        size = FRAME_HEADER + klen + vlen
+        if magic != FRAME_MAGIC or klen + vlen > MAX_FRAME or size > feed.left:
+            return
+        data, at = feed.peek(size)
+        key_at = at + FRAME_HEADER
+        feed.skip(size)
+        yield op, data[key_at : key_at + klen], data[key_at + klen : at + size]
 
 
 def headers(df: DataFrame, frame: str = "frame") -> DataFrame:
@@ -75,18 +84,11 @@ def responses(requests: DataFrame) -> DataFrame:
 
 
 def decoded(streams: DataFrame) -> DataFrame:
-    """The requests of connections' byte streams (path, content): path, place, op, key, val. A connection closes at a wrong magic
-    byte, an oversized or an incomplete frame, and what comes after is not read. One task reads a stream, as framing is
-    sequential; many are read side by side."""
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = [(path, i, op, k, v) for i, (op, k, v) in enumerate(frames(bytes(content)))]
-                yield pd.DataFrame(rows, columns=["path", "place", "op", "key", "val"])
-
-    return streams.mapInPandas(run, "path string, place long, op int, key binary, val binary")
+    """The requests of connections' byte streams, (path, content) or (path, part, content): path, place, op, key, val. A connection
+    closes at a wrong magic byte, an oversized or an incomplete frame, and what comes after is not read. One task reads a stream, as
+    framing is sequential, in pieces; many are read side by side."""
+    rows = lambda path, feed: ((path, i, *frame) for i, frame in enumerate(read(feed)))
+    return pieces.decoded(streams, rows, "path string, place long, op int, key binary, val binary")
 
 
 def frame_bytes(op, key, val):
