@@ -171,15 +171,15 @@ _LOGS = "logs AS (SELECT *, CAST(CAST(k AS BIGINT) % 8 AS VARCHAR) AS writer FRO
 
 
 def logs(spark, d, corrupt: bool):
-    """(path, content) of the writers' log files."""
-    rows = log(spark, d).withColumn("writer", F.col("key").cast("string").cast("long") % 8)
-    records = wal.encoded(rows).join(rows.select("seq", "writer"), "seq")
+    """(path, part, content) of the writers' log files."""
+    rows = log(spark, d).filter("seq IS NOT NULL").withColumn("writer", F.col("key").cast("string").cast("long") % 8)
+    records = wal.encoded(rows, "writer")
     if corrupt:
         top = rows.agg(F.expr("max(seq) * 9 div 10").alias("from"))
         bad = records.join(F.broadcast(top), F.col("seq") >= F.col("from")).groupBy("writer").agg(F.min("seq").alias("bad"))
         flipped = F.unhex(F.concat(F.hex(F.substr("record", F.lit(1), F.octet_length("record") - 1)), F.when(F.hex("record").endswith("00"), "01").otherwise("00")))
         records = records.join(F.broadcast(bad), "writer", "left").withColumn("record", F.when(F.col("seq") == F.col("bad"), flipped).otherwise(F.col("record")))
-    return wal.joined(records, "writer")
+    return pieces.joined(records, "writer")
 
 
 @query("SELECT k, arg_max(v, seq) AS v FROM logs LEFT JOIN bad USING (writer) WHERE bad IS NULL OR seq < bad GROUP BY k HAVING arg_max(v, seq) <> ''", f"{_MUT}, {_LOGS}")
