@@ -114,6 +114,7 @@ def events(spark, tmp_path_factory):
 READERS = {
     "kv_frame_stream": catalogue.connections,
     "kv_wal_inspect": lambda spark, d: catalogue.logs(spark, d, True),
+    "kv_recover_prefix": lambda spark, d: catalogue.logs(spark, d, True),
 }
 
 
