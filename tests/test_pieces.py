@@ -81,6 +81,16 @@ def test_logs_in_parts_are_inspected_to_the_bad_record(spark):
     assert seen[2999].offset == sum(len(r) for _, _, r in rows[:2999]) and seen[2999].key_len == 5
 
 
+def test_logs_in_parts_are_decoded_to_the_bad_record(spark):
+    parts, rows = log_parts(spark, 1024)
+    got = {p: [(r.seq, r.op, bytes(r.key), r.end) for r in wal.decoded(parts).collect() if r.file == p] for p in "ab"}
+    end, want = 0, []
+    for _, i, r in rows[:3000]:
+        end += len(r)
+        want.append((i, DELETE if i % 5 == 0 else PUT, b"k%d" % i, end))
+    assert got == {"a": want, "b": want[:1024]}
+
+
 @pytest.mark.parametrize("n", [1, 11, 12, 13, 100])
 def test_records_across_borders_of_pieces(n):
     ok = b"".join(wal.encode_record(PUT, b"key%d" % i, b"v" * i) for i in range(30))
@@ -115,6 +125,7 @@ READERS = {
     "kv_frame_stream": catalogue.connections,
     "kv_wal_inspect": lambda spark, d: catalogue.logs(spark, d, True),
     "kv_recover_prefix": lambda spark, d: catalogue.logs(spark, d, True),
+    "kv_wal_decode": lambda spark, d: catalogue.logs(spark, d, True),
 }
 
 
