@@ -126,6 +126,7 @@ READERS = {
     "kv_wal_inspect": lambda spark, d: catalogue.logs(spark, d, True),
     "kv_recover_prefix": lambda spark, d: catalogue.logs(spark, d, True),
     "kv_wal_decode": lambda spark, d: catalogue.logs(spark, d, True),
+    "kv_frame_responses": catalogue.connections,
 }
 
 
