@@ -127,6 +127,7 @@ READERS = {
     "kv_recover_prefix": lambda spark, d: catalogue.logs(spark, d, True),
     "kv_wal_decode": lambda spark, d: catalogue.logs(spark, d, True),
     "kv_frame_responses": catalogue.connections,
+    "kv_recover_clean": lambda spark, d: catalogue.logs(spark, d, False),
 }
 
 
